@@ -4,8 +4,9 @@ Each snapshot keeps, by digest bucket, its distinct digests with the smallest id
 a static binary-fuse filter.  An incoming batch is first grouped by digest on its own
 (map-side combined, so a hot group is a row per task); its distinct digests are
 screened by the filters, and only positives meet the snapshots' exact buckets.
-Digests that occur more than once go to a byte check: their rows are grouped by the
-normalised text itself.  Buckets are sized by count, never by key, so no task holds a
+Digests that occur more than once go to a byte check: a bitmap of their hashes, of
+bounded size, picks the rows that may have one at the scan, and those are grouped by
+the normalised text itself, so texts that occur once are not moved.  Buckets are sized by count, never by key, so no task holds a
 hot group.
 
 Inputs with nulls, empties, repeats: a null text counts as empty; equal texts are
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,6 +116,46 @@ class BinaryFuse:
         return cls(seed, segment, count, np.frombuffer(blob[24:], dtype="<u2"))
 
 
+_BITMAP_MOST = 28  # 2**28 bits, 32 MiB: beyond it the bitmap lets more rows pass, and no result changes
+_PART_BITS = 19
+
+
+def bitmap(probes: DataFrame, count: int) -> np.ndarray:
+    """One bit per leading bits of ``probe``, built by ranges of the hash; at most 32 MiB come to the driver."""
+    bits = min(_BITMAP_MOST, max(_PART_BITS, int(np.ceil(np.log2(16 * count + 1)))))
+
+    def build(batches):
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)
+            part = (at >> np.uint64(_PART_BITS)).astype(np.int64)
+            for p in np.unique(part).tolist():
+                inner = (at[part == p] & np.uint64((1 << _PART_BITS) - 1)).astype(np.int64)
+                own = parts.setdefault(p, np.zeros(1 << (_PART_BITS - 3), np.uint8))
+                np.bitwise_or.at(own, inner >> 3, (1 << (inner & 7)).astype(np.uint8))
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([v.tobytes() for v in parts.values()], pa.binary())], names=["part", "bits"])
+
+    part = F.shiftrightunsigned("probe", 64 - (bits - _PART_BITS)) if bits > _PART_BITS else F.lit(0)
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    size = 1 << (_PART_BITS - 3)
+    for row in probes.repartition(part).select("probe").mapInArrow(build, "part int, bits binary").collect():
+        out[row.part * size : (row.part + 1) * size] |= np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def may_hold(spark: SparkSession, table: np.ndarray):
+    """A column function: whether the bitmap has a probe's bit."""
+    shared, shift = spark.sparkContext.broadcast(table), 64 - int(np.log2(len(table) * 8))
+
+    @F.pandas_udf("boolean")
+    def held(probe: pd.Series) -> pd.Series:
+        at = (probe.to_numpy().view(np.uint64) >> np.uint64(shift)).astype(np.int64)
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return held
+
+
 @dataclass
 class Snapshot:
     """``exact``: bucket, digest, probe, first_id, n.  ``filters``: bucket, filter."""
@@ -188,12 +230,15 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     suspects = materialize(both.union(repeated(new_groups)).union(repeated(old_groups)).distinct(), "suspects")
 
     # Byte check: rows of suspect digests, grouped by their very text.
+    probes = suspects.select(F.xxhash64("digest").alias("probe"))
+    held = may_hold(spark, bitmap(probes, suspects.count()))
     norm = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm")).withColumn("digest", F.sha2("norm", 256))
     checked = (
-        norm.join(suspects, "digest", "left_semi")
+        norm.where(held(F.xxhash64("digest")))
         .groupBy("digest", "norm")
         .agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("size"))
         .select("digest", F.xxhash64("norm").alias("variant"), "keep", "size")
+        .join(suspects, "digest", "left_semi")
     )
     checked = materialize(checked, "groups")
     out = rows.join(checked, ["digest", "variant"], "left")

@@ -8,15 +8,17 @@ back.  A lost executor then costs its running tasks only.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
-_LIVE: list[str] = []
+_RECORDS: list[list[str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -33,7 +35,8 @@ def shared_root(spark: SparkSession) -> str:
 def new_dir(spark: SparkSession, label: str) -> str:
     """A fresh path (not yet created) in the shared folder."""
     path = f"{shared_root(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
-    _LIVE.append(path)
+    for record in _RECORDS:
+        record.append(path)
     return path
 
 
@@ -62,8 +65,6 @@ def delete(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(hadoop).delete(p, True)
-        if path in _LIVE:
-            _LIVE.remove(path)
 
 
 def drop(*tables: DataFrame) -> None:
@@ -72,10 +73,15 @@ def drop(*tables: DataFrame) -> None:
         delete(t.sparkSession, t.tidemark_path)
 
 
-def release(spark: SparkSession) -> None:
-    """Remove every scratch table of this process; call it once results are written."""
-    delete(spark, *list(_LIVE))
-    settle(spark)
+@contextlib.contextmanager
+def recording() -> Iterator[list[str]]:
+    """The scratch paths that are made inside the block, for a caller that knows when they may go."""
+    paths: list[str] = []
+    _RECORDS.append(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDS.remove(paths)
 
 
 def is_empty(df: DataFrame) -> bool:

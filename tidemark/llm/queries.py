@@ -13,6 +13,7 @@ from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.ngram_join import jaccard_components
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import quality_scores
+from tidemark.llm.substring_dedup import repeated_spans
 from tidemark.llm.toxicity import toxicity
 from tidemark.llm.url_filter import Rule, judge_urls, labelled_by_words
 from tidemark.llm.warc import read_warc, write_warc
@@ -45,6 +46,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(spark, _table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = write_warc(spark, _table(spark, sf_dir, "pages"))
     return read_warc(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.ngram_join import jaccard_components
+from tidemark.llm.ngram_lm import lm_scores
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import quality_scores
 from tidemark.llm.substring_dedup import repeated_spans
@@ -55,6 +56,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7 == 2
+    return lm_scores(spark, _table(spark, sf_dir, "documents"), held)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 

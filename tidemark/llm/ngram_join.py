@@ -9,15 +9,18 @@ are multiplied.
 1. Classes: documents with equal sets collapse to their smallest id; copies cost one
    row in a map-side combined aggregate and are never paired.
 2. Prefix incidence is dealt by column; columns with one row are dropped at once.
-3. Star round: in each column a row is paired with the smallest row of about its
-   size; the best such pair of every row is verified against the full sets, and
-   verified pairs give first components.  That joins large groups of near copies
-   with a number of pairs linear in the group.
-4. Product round: per column block, overlaps of all pairs that are still in
-   different components are accumulated, pairs whose sizes are too far apart are
-   never formed and those whose overlap cannot reach the bound the sizes imply are
-   discarded.  The rest is verified exactly.  A pair left out was in one component
-   already, so no link between components is lost.
+3. Star round, for groups of near copies: in every column each row is paired with the
+   row that has most shared columns - the least edited copy; a row's most frequent such
+   partner, if it could be similar enough, is verified against the full sets.  Verified
+   pairs give first components with a number of pairs linear in the group.  This round
+   may miss anything; it only saves work.
+4. Product round, over columns that rows of different components have, now ordered by
+   how many rows they have.  Per column block, pairs of different components are
+   accumulated, each from the columns that are early enough in both rows for the overlap
+   their sizes ask for; pairs whose sizes are too far apart are never formed.  Of the
+   pairs found the overlap of prefixes is counted in full, and those below the bound
+   that the sizes imply are discarded.  The rest is verified exactly.  A pair left out
+   was in one component already, so no link between components is lost.
 
 Nulls, empties, repeats: a null text counts as empty; a document without words has an
 empty set and links with nothing; one with fewer than ``width`` words has its whole
@@ -33,10 +36,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import wordhash as W
+from tidemark.llm.bitmap import bitmap, may_hold
 from tidemark.llm.components import components
 from tidemark.llm.scratch import drop, materialize
 
@@ -95,24 +99,31 @@ def _order(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def incidence(docs: DataFrame, rank, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n, d1, d2 (digest of the set), prefix: one row per document."""
+    """id, n, d1, d2 (digest of the set), key, prefix: one row per document.
+
+    ``key`` is n * 2**24 plus the leading bits of the place, in the order of columns,
+    of the last column of the prefix.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = rank.value
-        for batch in batches:
-            n, d1, d2, prefix = [], [], [], []
+        for batch in W.slices(batches):
+            n, d1, d2, key, prefix = [], [], [], [], []
             for s in shingle_sets(batch.column(1), width):
                 n.append(len(s))
                 d1.append(int(W.mix(s * W._ODD[40]).sum(dtype=np.uint64).view(np.int64)))
                 d2.append(int(W.mix(s + W._ODD[41]).sum(dtype=np.uint64).view(np.int64)))
                 keep = len(s) - (num * len(s) + den - 1) // den + 1 if len(s) else 0
                 prefix.append(s[_order(s, table)[:keep]].view(np.int64))
+                last = prefix[-1][-1:].view(np.uint64)
+                place = (int(table[int(last[0] >> np.uint64(64 - SKETCH_BITS))]) << 16 | int(last[0] >> np.uint64(48))) if keep else 0
+                key.append(len(s) << 24 | place)
             sizes = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists], names=["id", "n", "d1", "d2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(key, pa.int64()), lists], names=["id", "n", "d1", "d2", "key", "prefix"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, d1 long, d2 long, prefix array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, d1 long, d2 long, key long, prefix array<long>")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -137,24 +148,79 @@ def _bounds(col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.r_[start[1:], len(col)]
 
 
-def shared_columns(num: int, den: int):
-    """Over sorted (col, n, id): the columns that two rows or more have, each row with its star partner or null."""
+def shared_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over sorted (col, key, id): the columns that two rows or more have."""
+    for col, key, ids in _runs(batches):
+        start, end = _bounds(col)
+        many = np.repeat(end - start > 1, end - start)
+        if many.any():
+            yield pa.RecordBatch.from_arrays([pa.array(col[many]), pa.array(key[many]), pa.array(ids[many])], names=["col", "key", "id"])
+
+
+def mixed_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (col, key, id, comp), sorted by col: the columns that rows of different components have."""
+    for col, key, ids, comp in _runs(batches):
+        start, end = _bounds(col)
+        mixed = np.repeat(np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start), end - start)
+        if mixed.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[mixed]) for x in (col, key, ids, comp)], names=["col", "key", "id", "comp"])
+
+
+def least_overlap(key_u, key_v, num: int, den: int, where, most, ceil):
+    """The least prefix overlap with which two rows can be similar enough; over arrays or columns alike.
+
+    All columns up to the end of the prefix that ends first are in both prefixes' reach;
+    what overlaps beyond it lies past that prefix.
+    """
+    nu, nv = key_u[0], key_v[0]
+    past_u, past_v = ceil(nu * num, den) - 1, ceil(nv * num, den) - 1
+    past = where(key_u[1] < key_v[1], past_u, where(key_u[1] > key_v[1], past_v, most(past_u, past_v)))
+    return ceil((nu + nv) * num, num + den) - past
+
+
+def multiply(num: int, den: int):
+    """Over sorted (col, key, id, comp, room): pairs of different components and the least prefix overlap that could do.
+
+    ``room`` is how many of its columns a row has from this one on.  A pair that has the
+    overlap it needs has its first common column where both have that much room.
+    """
+    split = lambda key: (key >> 24, key & 0xFFFFFF)
+    ceil = lambda x, y: -(-x // y)
+
+    def once(found: list[tuple]) -> pa.RecordBatch:
+        frame = pd.DataFrame(dict(zip(("u", "v", "need"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+        return pa.RecordBatch.from_pandas(frame.drop_duplicates(["u", "v"]).astype("int64"), preserve_index=False)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for col, n, ids in _runs(batches):
+        found: list[tuple] = []
+        for col, key, ids, comp, room in _runs(batches):
+            n = key >> 24
+
+            def keep(u: np.ndarray, v: np.ndarray) -> int:
+                fits = n[v] * num <= n[u] * den  # noqa: B023
+                u, v = u[fits], v[fits]
+                need = least_overlap(split(key[u]), split(key[v]), num, den, np.where, np.maximum, ceil)  # noqa: B023
+                fits = np.minimum(room[u], room[v]) >= need  # noqa: B023
+                if fits.any():
+                    found.append((ids[u[fits]], ids[v[fits]], need[fits]))  # noqa: B023
+                return int(fits.sum())
+
             start, end = _bounds(col)
-            many = np.repeat(end - start > 1, end - start)
-            if not many.any():
-                continue
-            star = np.full(len(col), -1, np.int64)
-            for a, b in zip(start[end - start > 1].tolist(), end[end - start > 1].tolist(), strict=True):
-                size, i = n[a:b], 0
-                while i < len(size):  # sizes ascend; the smallest of a stretch is its centre
-                    j = int(np.searchsorted(size, size[i] * den // num, side="right"))
-                    star[a + i + 1 : a + j] = a + i
-                    i = max(j, i + 1)
-            partner = np.where(star >= 0, ids[np.maximum(star, 0)], -1)
-            yield pa.RecordBatch.from_arrays([pa.array(col[many]), pa.array(n[many]), pa.array(ids[many]), pa.array(partner[many], mask=star[many] < 0)], names=["col", "n", "id", "star"])
+            pairs = start[end - start == 2]
+            held = keep(pairs, pairs + 1)
+            more = np.flatnonzero(end - start > 2)
+            for a, b in zip(start[more].tolist(), end[more].tolist(), strict=True):
+                c, reach = comp[a:b], a + np.searchsorted(n[a:b], n[a:b] * den // num, side="right")
+                for i in range(a, b - 1):
+                    other = np.flatnonzero(c[i + 1 - a : reach[i - a] - a] != c[i - a]) + i + 1
+                    held += keep(np.full(len(other), i), other) if len(other) else 0
+                    if held > 1_000_000:  # bounds the memory, not the pairs
+                        yield once(found)
+                        found.clear()
+                        held = 0
+            if found:
+                yield once(found)
+                found.clear()
 
     return go
 
@@ -177,65 +243,64 @@ def jaccard_components(
     rows = materialize(incidence(docs, rank, width, num, den, id_col, text_col), "incidence")
 
     # 1. Classes of equal sets.
-    named = rows.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    classes = named.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members"))
-    classes = materialize(classes, "classes")
-    reps = named.join(classes.select(F.col("rep").alias("id"), "d1", "d2"), ["id", "d1", "d2"], "left_semi").dropDuplicates(["id", "d1", "d2"])
-
-    # 2. Columns that two rows share, each row with its star partner.
-    cells = reps.select(F.explode("prefix").alias("col"), "n", "id")
-    blocks = cells.repartition("col").sortWithinPartitions("col", "n", "id")
-    shared = materialize(blocks.mapInArrow(shared_columns(num, den), "col long, n long, id long, star long"), "columns")
-
-    # Full sets of the rows that share a column at all.
-    wanted = shared.select("id").distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = list(shingle_sets(batch.column(1), width))
-            sizes = np.cumsum([0, *map(len, s)]).astype(np.int32)
-            flat = np.concatenate(s).view(np.int64) if s else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], names=["id", "s"])
-
-    sets = materialize(texts.mapInArrow(full, "id long, s array<long>"), "sets")
-
-    # 3. Star round: the partner met in most columns.
-    stars = shared.where("star is not null").groupBy("id", "star").agg(F.count(F.lit(1)).alias("c"))
-    best = stars.groupBy("id").agg(F.max_by("star", F.struct("c", F.negative("star"))).alias("v")).select(F.col("id").alias("u"), "v")
-    first = components(verified(best, sets, num, den))
+    meta = materialize(rows.select("id", "n", "d1", "d2"), "meta")
+    named = meta.where(F.col("id").isNotNull() & (F.col("n") > 0))
+    classes = materialize(named.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members")), "classes")
+    reps = rows.join(classes.select(F.col("rep").alias("id"), "d1", "d2"), ["id", "d1", "d2"], "left_semi").dropDuplicates(["id", "d1", "d2"])
+
+    # 2. Columns that two rows share.
+    cells = reps.select(F.explode("prefix").alias("col"), "key", "id")
+    blocks = cells.repartition("col").sortWithinPartitions("col", "key", "id")
+    shared = materialize(blocks.mapInArrow(shared_columns, "col long, key long, id long"), "columns")
+    drop(rows)
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """The full sets of some documents, from their texts; a bitmap thins the scan."""
+        ids = materialize(ids.distinct(), "wanted")
+        held = may_hold(spark, bitmap(ids.select(F.xxhash64("id").alias("probe")), ids.count()))
+        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
+        texts = texts.where(held(F.xxhash64("id"))).join(ids, "id", "left_semi")
+
+        def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in W.slices(batches):
+                s = list(shingle_sets(batch.column(1), width))
+                sizes = np.cumsum([0, *map(len, s)]).astype(np.int32)
+                flat = np.concatenate(s).view(np.int64) if s else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], names=["id", "s"])
+
+        return materialize(texts.mapInArrow(full, "id long, s array<long>"), "sets")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs.select("u", "v"), "pairs")
+        sets = sets_of(pairs.select(F.col("u").alias("id")).union(pairs.select("v")))
+        out = materialize(verified(pairs, sets, num, den), "links")
+        drop(sets, pairs)
+        return out
+
+    # 3. Star round.
+    ranked = shared.join(shared.groupBy("id").agg(F.count(F.lit(1)).alias("k")), "id")
+    centre = ranked.groupBy("col").agg(F.max(F.struct("k", F.negative("id").alias("v"), F.col("key").alias("v_key"))).alias("x"))
+    centre = centre.select("col", F.negative("x.v").alias("v"), F.col("x.v_key").alias("v_key"))
+    met = shared.join(centre, "col").where("id != v").groupBy("id", "v").agg(F.count(F.lit(1)).alias("c"), F.max("key").alias("key"), F.max("v_key").alias("v_key"))
+    split = lambda c: (F.shiftright(c, 24), F.col(c).bitwiseAND(0xFFFFFF))
+    ceil = lambda x, y: F.ceil(x / y - 1e-9)
+    need = least_overlap(split("key"), split("v_key"), num, den, lambda c, x, y: F.when(c, x).otherwise(y), F.greatest, ceil)
+    best = met.where(F.col("c") >= need).groupBy("id").agg(F.max_by("v", F.struct("c", F.negative("v"))).alias("v")).select(F.col("id").alias("u"), "v")
+    first = components(links_of(best))
 
     # 4. Product of what lies in different components.
-    tagged = shared.join(first.select(F.col("node").alias("id"), "component"), "id", "left")
-    tagged = tagged.select("col", "n", "id", F.coalesce("component", "id").alias("comp"))
-    product = tagged.repartition("col").sortWithinPartitions("col", "n", "id")
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for col, n, ids, comp in _runs(batches):
-            out_u, out_v, out_nu, out_nv = [], [], [], []
-            start, end = _bounds(col)
-            for a, b in zip(start.tolist(), end.tolist(), strict=True):
-                c = comp[a:b]
-                if (c == c[0]).all():
-                    continue
-                size, who = n[a:b], ids[a:b]
-                reach = np.searchsorted(size, size * den // num, side="right")
-                for i in range(b - a - 1):
-                    other = np.flatnonzero(c[i + 1 : reach[i]] != c[i]) + i + 1
-                    if len(other):
-                        out_u.append(np.full(len(other), who[i])), out_v.append(who[other])
-                        out_nu.append(np.full(len(other), size[i])), out_nv.append(size[other])
-            if out_u:
-                frame = pd.DataFrame({"u": np.concatenate(out_u), "v": np.concatenate(out_v), "nu": np.concatenate(out_nu), "nv": np.concatenate(out_nv)})
-                frame = frame.groupby(["u", "v", "nu", "nv"], as_index=False, sort=False).size().rename(columns={"size": "c"})
-                yield pa.RecordBatch.from_pandas(frame.astype("int64"), preserve_index=False)
-
-    counts = product.mapInArrow(multiply, "u long, v long, nu long, nv long, c long").groupBy("u", "v", "nu", "nv").agg(F.sum("c").alias("c"))
-    # Overlap needed: ceil(t/(1+t) * (nu+nv)).  What the prefixes cannot show lies past one of them.
-    need = F.ceil((F.col("nu") + F.col("nv")) * F.lit(num) / F.lit(num + den) - 1e-9)
-    past = lambda x: F.ceil(F.col(x) * F.lit(num) / F.lit(den) - 1e-9) - 1
-    hopeful = counts.where(F.col("c") + F.greatest(past("nu"), past("nv")) >= need).select("u", "v")
-    links = verified(hopeful, sets, num, den)
+    tagged = shared.join(first.select(F.col("node").alias("id"), "component"), "id", "left").select("col", "key", "id", F.coalesce("component", "id").alias("comp"))
+    mixed = materialize(tagged.repartition("col").sortWithinPartitions("col").mapInArrow(mixed_columns, "col long, key long, id long, comp long"), "mixed")
+    drop(shared)
+    own = Window.partitionBy("id")
+    placed = mixed.join(mixed.groupBy("col").agg(F.count(F.lit(1)).alias("m")), "col")
+    placed = placed.withColumn("room", F.count(F.lit(1)).over(own) - F.row_number().over(own.orderBy("m", "col")) + 1)
+    product = placed.select("col", "key", "id", "comp", F.col("room").cast("long").alias("room")).repartition("col").sortWithinPartitions("col", "key", "id")
+    found = product.mapInArrow(multiply(num, den), "u long, v long, need long").groupBy("u", "v").agg(F.max("need").alias("need"))
+    columns = mixed.groupBy("id").agg(F.collect_list("col").alias("cols"))  # no more than a prefix each
+    both = found.join(columns.select(F.col("id").alias("u"), F.col("cols").alias("uc")), "u").join(columns.select(F.col("id").alias("v"), F.col("cols").alias("vc")), "v")
+    links = links_of(both.where(F.size(F.array_intersect("uc", "vc")) >= F.col("need")))
+    drop(mixed)
     a, b = (first.select(F.col("node").alias(x), F.col("component").alias(f"{x}c")) for x in ("u", "v"))
     lifted = links.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("uc", "u").alias("u"), F.coalesce("vc", "v").alias("v"))
     second = components(lifted)
@@ -245,6 +310,5 @@ def jaccard_components(
     top = top.select("rep", F.coalesce("top", "component").alias("comp")).union(second.join(first, "node", "left_anti").select("node", "component"))
     final = classes.join(top, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).where((F.col("members") > 1) | (F.col("comp") != F.col("rep")))
     final = materialize(final.select("n", "d1", "d2", "comp"), "classes")
-    drop(sets, shared)
-    out = rows.drop("prefix").join(final, ["n", "d1", "d2"], "left")
+    out = meta.join(final, ["n", "d1", "d2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"))

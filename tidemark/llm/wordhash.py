@@ -42,7 +42,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def text_chunks(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of about ``most`` bytes: first row, end row, bytes, offsets from 0.
 
     Null texts have no bytes.  One text is never divided.
@@ -65,6 +65,13 @@ def text_chunks(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, in
         lo = hi
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that what is made of one stays small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a chunk: words' hashes, first bytes, ends, and per row the index of its first word (one more at the end)."""
     n = len(raw)

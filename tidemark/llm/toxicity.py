@@ -113,6 +113,11 @@ class Kernel:
             out[lo : lo + 4000] /= norms[:, None]
         return out
 
+    def against(self, strings: list[bytes], beta: np.ndarray) -> np.ndarray:
+        """Weighted sums of kernel values, a few thousand strings at a time."""
+        parts = [self(strings[lo : lo + 4000]) @ beta for lo in range(0, len(strings), 4000)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
     def fold(self, beta: np.ndarray) -> np.ndarray:
         """One weight a feature, for a function with weight beta on each landmark."""
         w = np.zeros(1 << BITS, np.float32)
@@ -212,6 +217,8 @@ def train(texts: list[str], labels: np.ndarray, landmarks: int = 128, least: int
         if not h:
             (bad if y else good).update(words)
             (part_bad if y else part_good).update({p for w in words for p in _parts(w)})
+    toxic_docs = [sorted(w) for w, y, h in zip(docs, labels, held, strict=True) if y and not h]
+    del docs
     marked = lambda w: any(part_bad[p] >= least and not part_good[p] for p in _parts(w))
     candidates = sorted((w for w in bad if not good[w] and marked(w)), key=lambda w: (-bad[w], w))
     if not candidates:
@@ -219,7 +226,6 @@ def train(texts: list[str], labels: np.ndarray, landmarks: int = 128, least: int
     negatives = sorted(good, key=lambda w: (-good[w], w))
     if not candidates or not negatives:
         return None
-    toxic_docs = [sorted(w) for w, y, h in zip(docs, labels, held, strict=True) if y and not h]
     positive, hard = set(candidates[:4000]), []
     for _ in range(3):
         ordered = sorted(positive, key=lambda w: (-bad[w], w))
@@ -233,18 +239,15 @@ def train(texts: list[str], labels: np.ndarray, landmarks: int = 128, least: int
         weight = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())
         w = _svm(k @ root, y, weight)
         beta, bias = root @ w[:-1], float(w[-1])
-        score = lambda words: kernel(words) @ beta + bias  # noqa: B023, E731
+        score = lambda words: kernel.against(words, beta) + bias  # noqa: B023, E731
         s = score(negatives[:40000])
         hard = [negatives[i] for i in np.argsort(-s, kind="stable")[:2000]]
         alone = [d for d in toxic_docs if d and not positive.intersection(d)]
-        flat = [x for d in alone for x in d]
-        if flat:
-            s, lo = score(flat), 0
-            for d in alone:
-                best = int(np.argmax(s[lo : lo + len(d)]))
-                if s[lo + best] > 0 and not good[d[best]]:
-                    positive.add(d[best])
-                lo += len(d)
+        for d in alone:
+            s = score(d)
+            best = int(np.argmax(s))
+            if s[best] > 0 and not good[d[best]]:
+                positive.add(d[best])
     weights = kernel.fold(beta)
     joined = _lowered(pa.array([t or "" for t in texts]))
     features = np.vstack([document_features(raw, off, weights, bias) for _, _, raw, off in W.text_chunks(joined)])
@@ -266,7 +269,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_labelled:
     return train([r.text or "" for r in rows], np.array([r.y for r in rows], int)) if rows else None
 
 
-def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_labelled: int = 6000, folds: int = 5, id_col: str = "doc_id") -> DataFrame:
+def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, folds: int = 5, id_col: str = "doc_id") -> DataFrame:
     """doc_id, held_out, score, predicted, word_score (the most toxic word's)."""
     shared = spark.sparkContext.broadcast(fit(spark, docs, labels, most_labelled, folds, id_col))
 

@@ -24,7 +24,11 @@ def records(lines: DataFrame, file: str = "file", pos: str = "pos", line: str =
 
 
 def page(rows: DataFrame, order: str, offset: int, limit: int, by: str | None = None) -> DataFrame:
-    """``limit`` rows that end ``offset`` before the last, still in order; none past the first."""
+    """``limit`` rows that end ``offset`` before the last; none past the first.
+
+    Over all rows a top-k keeps what the window then numbers to ``offset + limit`` rows.
+    """
+    rows = rows if by else rows.orderBy(F.desc(order)).limit(offset + limit)
     own = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
     back = F.row_number().over(own.orderBy(F.desc(order)))
     return rows.withColumn("_b", back).where((F.col("_b") > offset) & (F.col("_b") <= offset + limit)).drop("_b")

@@ -26,7 +26,7 @@ from tidemark.llm.ngram_join import jaccard_components
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import quality_scores
 from tidemark.llm.queries import tokenizer_path
-from tidemark.llm.scratch import delete, materialize, recording, settle, shared_root
+from tidemark.llm.scratch import delete, materialize, recording, settle, shared_root, small_batches
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -41,6 +41,7 @@ def _stage(function: Stage) -> Stage:
         delete(spark, *_PAST)
         _PAST.clear()
         settle(spark)
+        small_batches(spark)
         with recording() as paths:
             out = function(spark, docs, sf_dir)
         _PAST.extend(paths)

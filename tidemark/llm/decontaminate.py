@@ -98,7 +98,7 @@ def word_rates(docs: DataFrame, words: np.ndarray) -> np.ndarray:
     bits = np.zeros(1 << 20, bool)
     bits[(words >> np.uint64(44)).astype(np.int64)] = True
     shared = docs.sparkSession.sparkContext.broadcast((words, bits))
-    rows = docs.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = docs.mapInArrow(W.lean(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(len(words) + 1)
     for r in rows:
         out[r.word] = r.n
@@ -167,7 +167,7 @@ def _search(docs: DataFrame, block: list[tuple], n: int, chance: float, threshol
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "score", "start", "end", "span"])
 
     item_out = "long" if item_type in ("bigint", "int") else "string"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, item_id {item_out}, score double, start long, `end` long, span string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(W.lean(run), f"doc_id {id_type}, item_id {item_out}, score double, start long, `end` long, span string")
 
 
 def contaminated(

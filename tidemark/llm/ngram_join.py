@@ -85,8 +85,8 @@ def rarity(docs: DataFrame, width: int) -> np.ndarray:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(v, 2**31 - 1).astype("<i4").tobytes() for v in sums.values()], pa.binary())], names=["part", "counts"])
 
-    parts = docs.mapInArrow(count, "part int, counts binary")
-    summed = parts.repartition(size // _PART, "part").mapInArrow(add, "part int, counts binary")
+    parts = docs.mapInArrow(W.lean(count), "part int, counts binary")
+    summed = parts.repartition(size // _PART, "part").mapInArrow(W.lean(add), "part int, counts binary")
     out = np.zeros(size, np.int64)
     for row in summed.collect():
         out[row.part * _PART : (row.part + 1) * _PART] += np.frombuffer(row.counts, "<i4")
@@ -123,7 +123,7 @@ def incidence(docs: DataFrame, rank, width: int, num: int, den: int, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(key, pa.int64()), lists], names=["id", "n", "d1", "d2", "key", "prefix"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, d1 long, d2 long, key long, prefix array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(W.lean(run), f"id {kind}, n long, d1 long, d2 long, key long, prefix array<long>")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -251,7 +251,7 @@ def jaccard_components(
     # 2. Columns that two rows share.
     cells = reps.select(F.explode("prefix").alias("col"), "key", "id")
     blocks = cells.repartition("col").sortWithinPartitions("col", "key", "id")
-    shared = materialize(blocks.mapInArrow(shared_columns, "col long, key long, id long"), "columns")
+    shared = materialize(blocks.mapInArrow(W.lean(shared_columns), "col long, key long, id long"), "columns")
     drop(rows)
 
     def sets_of(ids: DataFrame) -> DataFrame:
@@ -268,7 +268,7 @@ def jaccard_components(
                 flat = np.concatenate(s).view(np.int64) if s else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], names=["id", "s"])
 
-        return materialize(texts.mapInArrow(full, "id long, s array<long>"), "sets")
+        return materialize(texts.mapInArrow(W.lean(full), "id long, s array<long>"), "sets")
 
     def links_of(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.select("u", "v"), "pairs")
@@ -290,13 +290,13 @@ def jaccard_components(
 
     # 4. Product of what lies in different components.
     tagged = shared.join(first.select(F.col("node").alias("id"), "component"), "id", "left").select("col", "key", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = materialize(tagged.repartition("col").sortWithinPartitions("col").mapInArrow(mixed_columns, "col long, key long, id long, comp long"), "mixed")
+    mixed = materialize(tagged.repartition("col").sortWithinPartitions("col").mapInArrow(W.lean(mixed_columns), "col long, key long, id long, comp long"), "mixed")
     drop(shared)
     own = Window.partitionBy("id")
     placed = mixed.join(mixed.groupBy("col").agg(F.count(F.lit(1)).alias("m")), "col")
     placed = placed.withColumn("room", F.count(F.lit(1)).over(own) - F.row_number().over(own.orderBy("m", "col")) + 1)
     product = placed.select("col", "key", "id", "comp", F.col("room").cast("long").alias("room")).repartition("col").sortWithinPartitions("col", "key", "id")
-    found = product.mapInArrow(multiply(num, den), "u long, v long, need long").groupBy("u", "v").agg(F.max("need").alias("need"))
+    found = product.mapInArrow(W.lean(multiply(num, den)), "u long, v long, need long").groupBy("u", "v").agg(F.max("need").alias("need"))
     columns = mixed.groupBy("id").agg(F.collect_list("col").alias("cols"))  # no more than a prefix each
     both = found.join(columns.select(F.col("id").alias("u"), F.col("cols").alias("uc")), "u").join(columns.select(F.col("id").alias("v"), F.col("cols").alias("vc")), "v")
     links = links_of(both.where(F.size(F.array_intersect("uc", "vc")) >= F.col("need")))

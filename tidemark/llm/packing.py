@@ -29,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm import wordhash as W
 from tidemark.llm.scratch import materialize
 
-_ENCODERS: dict[str, object] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -49,15 +50,13 @@ class Encoder:
     that loop refuses, goes to ``tokenizers`` itself.
     """
 
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, fast: bool = True):
+        self.path, self.fast, self.slow = path, self._ranks(path) if fast else None, None
 
-        self.path, self.fast, self.slow = path, self._ranks(path), Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
-        probe = ["Plain words, 12345 and it's  two  spaces\n\n\ttab", "ünïcödé 漢字 🙂   x'll", " <|endoftext|> ", ""]
-        if self.fast is not None and any(self._own(t) != self._theirs(t) for t in probe):
-            self.fast = None
+    def agrees(self) -> bool:
+        """Whether both ways give the same ids on texts that tell them apart."""
+        probe = ["Plain words, 12345 and it's  two  spaces\n\n\ttab", "ünïcödé 漢字 🙂   x'll", " <|endoftext|> ", ""]
+        return self.fast is not None and all(self._own(t) == self._theirs(t) for t in probe)
 
     @staticmethod
     def _ranks(path: str):
@@ -74,12 +73,19 @@ class Encoder:
             return None
         # The published splitting pattern of byte-level BPE.
         pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        made = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return made.encode_ordinary
 
     def _own(self, text: str) -> list[int]:
-        return self.fast.encode_ordinary(text)
+        return self.fast(text)
 
     def _theirs(self, text: str) -> list[int]:
+        if self.slow is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+            self.slow.encode_special_tokens = True
         return self.slow.encode(text, add_special_tokens=False).ids
 
     def ids(self, text: str) -> list[int]:
@@ -92,19 +98,20 @@ class Encoder:
         return self._theirs(text)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, fast: bool) -> Encoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, fast)
     return _ENCODERS[path]
 
 
 def tokenise(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """number (unique), doc_id, piece, start, length, ids (little-endian unsigned 32-bit), one row per piece."""
+    fast = Encoder(tokenizer).agrees()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, number = encoder(tokenizer), TaskContext.get().partitionId() << 40
+        own, number = encoder(tokenizer, fast), TaskContext.get().partitionId() << 40
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 rows: list[tuple] = []
@@ -121,7 +128,7 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"number long, doc_id {kind}, piece int, start long, length long, ids binary"
+        W.lean(run), f"number long, doc_id {kind}, piece int, start long, length long, ids binary"
     )
 
 

@@ -209,7 +209,7 @@ def _features(rows: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(blobs[0], pa.binary()), pa.array(blobs[1], pa.binary())], names=["id", "t", "m"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    got = rows.mapInArrow(run, f"id {kind}, t binary, m binary").orderBy("id").collect()
+    got = rows.mapInArrow(W.lean(run), f"id {kind}, t binary, m binary").orderBy("id").collect()
     unpack = lambda k, d: np.array([np.frombuffer(r[k], np.float32) for r in got]).reshape(len(got), d)
     return [r.id for r in got], unpack("t", TEXT_DIMS), unpack("m", META_DIMS)
 
@@ -262,4 +262,4 @@ def quality_scores(
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], *(pa.array(s) for s in scores), pa.array(scores[2] >= reject_below)], names=["doc_id", "text_score", "meta_score", "score", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _records(docs, id_col).mapInArrow(run, f"doc_id {kind}, text_score double, meta_score double, score double, kept boolean")
+    return _records(docs, id_col).mapInArrow(W.lean(run), f"doc_id {kind}, text_score double, meta_score double, score double, kept boolean")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import importlib
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +14,7 @@ from tidemark.llm.ngram_join import jaccard_components
 from tidemark.llm.ngram_lm import lm_scores
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import quality_scores
+from tidemark.llm.scratch import small_batches
 from tidemark.llm.substring_dedup import repeated_spans
 from tidemark.llm.toxicity import toxicity
 from tidemark.llm.url_filter import Rule, judge_urls, labelled_by_words
@@ -87,9 +88,18 @@ SQL = {
 }
 
 
+def _lean(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
-    return own
+    return {k: _lean(v) for k, v in own.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -40,19 +40,31 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and return it as read back; lineage ends there."""
+def materialize(df: DataFrame, label: str, dictionary: bool = True) -> DataFrame:
+    """Write ``df`` to the shared folder and return it as read back; lineage ends there.
+
+    ``dictionary`` off saves the try at one for columns of mostly different values.
+    """
     spark = df.sparkSession
     path = new_dir(spark, label)
     schema = df.schema
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     settle(spark)
     back = spark.read.schema(schema).parquet(path)
     back.tidemark_path = path
     return back
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let Arrow batches of whole texts stay small: at most ``rows`` rows, unless the session asks for fewer.
+
+    Executors hold a batch several times over, in the JVM and in Python.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def settle(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of jobs whose DataFrames are gone."""
     gc.collect()

@@ -117,7 +117,7 @@ def _digests(docs: DataFrame, mean: int, most: int, least: int) -> DataFrame:
                 if len(digest):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[lo + text]), pa.array(digest.view(np.int64))], names=["id", "digest"])
 
-    return docs.mapInArrow(run, "id long, digest long")
+    return docs.mapInArrow(W.lean(run), "id long, digest long")
 
 
 def _places(docs: DataFrame, mean: int, most: int, least: int, bits: np.ndarray) -> DataFrame:
@@ -142,7 +142,7 @@ def _places(docs: DataFrame, mean: int, most: int, least: int, bits: np.ndarray)
                 columns = [ids[lo + text], digest.view(np.int64), chars[start] - base, chars[end] - base, heads[start], heads[end]]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["id", "digest", "start", "end", "w0", "w1"])
 
-    return docs.mapInArrow(run, "id long, digest long, start long, `end` long, w0 long, w1 long")
+    return docs.mapInArrow(W.lean(run), "id long, digest long, start long, `end` long, w0 long, w1 long")
 
 
 def _spans(min_words: int):

@@ -286,6 +286,6 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_label
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(word)], names=["id", "score", "predicted", "word_score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(F.col(id_col).alias("id"), F.col("text")).mapInArrow(run, f"id {kind}, score double, predicted int, word_score double")
+    scored = docs.select(F.col(id_col).alias("id"), F.col("text")).mapInArrow(W.lean(run), f"id {kind}, score double, predicted int, word_score double")
     held = F.coalesce(_bucket("id", folds) == 0, F.lit(False))
     return scored.select(F.col("id").alias(id_col), held.alias("held_out"), "score", "predicted", "word_score")

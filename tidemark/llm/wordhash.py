@@ -8,7 +8,9 @@ shingles meet with probability of about 2**-64.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +67,29 @@ def text_chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, in
         lo = hi
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def _trim() -> None:
+    """Give freed memory back to the system; a worker lives on for tasks of other kinds."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` for ``mapInArrow``, which leaves no freed memory behind in the worker."""
+
+    @functools.wraps(run)
+    def go(batches: Batches) -> Batches:
+        yield from run(batches)
+        _trim()
+
+    return go
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most ``rows`` rows, so that what is made of one stays small."""
     for batch in batches:
@@ -72,6 +97,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.R
             yield batch.slice(lo, rows)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches joined to about ``rows`` rows, for what is combined within one."""
+    held: list[pa.RecordBatch] = []
+    for batch in slices(batches, rows):
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a chunk: words' hashes, first bytes, ends, and per row the index of its first word (one more at the end)."""
     n = len(raw)

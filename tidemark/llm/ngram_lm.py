@@ -91,17 +91,11 @@ class Monotone:
     def at(self, i: np.ndarray) -> np.ndarray:
         """The i-th values: the place of the i-th one less i, then the low bits."""
         word = np.searchsorted(self.ranks, i, side="right") - 1
-        left = i - self.ranks[word]
-        base = word * 8
-        byte = np.zeros(len(i), np.int64)
-        going = np.ones(len(i), bool)
-        for k in range(8):
-            ones = _ONES[self.high[base + k]]
-            stop = going & (left < ones)
-            byte[stop] = k
-            going &= ~stop
-            left = np.where(going, left - ones, left)
-        place = (base + byte) * 8 + _SELECT[self.high[base + byte], left]
+        left = (i - self.ranks[word]).astype(np.uint8)
+        ones = np.cumsum(_ONES[self.high.reshape(-1, 8)[word]], axis=1, dtype=np.uint8)  # up to each byte of the word
+        byte = (ones <= left[:, None]).sum(axis=1)
+        left -= np.where(byte > 0, ones[np.arange(len(i)), np.maximum(byte - 1, 0)], 0).astype(np.uint8)
+        place = word * 64 + byte * 8 + _SELECT[self.high[word * 8 + byte], left]
         return ((place - i) << self.low_bits) | unpack(self.low, self.low_bits, i)
 
 
@@ -109,8 +103,11 @@ def pack(values: np.ndarray, bits: int) -> np.ndarray:
     """Values in ``bits`` bits each, little-endian, with spare bytes for whole-word reads."""
     if not bits or not len(values):
         return np.zeros(8, np.uint8)
-    spread = ((values[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-    return np.concatenate([np.packbits(spread.ravel(), bitorder="little"), np.zeros(8, np.uint8)])
+    places, parts = np.arange(bits, dtype=np.uint64), []
+    for lo in range(0, len(values), 1 << 15):  # whole bytes each time
+        spread = ((values[lo : lo + (1 << 15), None] >> places) & np.uint64(1)).astype(np.uint8)
+        parts.append(np.packbits(spread.ravel(), bitorder="little"))
+    return np.concatenate([*parts, np.zeros(8, np.uint8)])
 
 
 def unpack(data: np.ndarray, bits: int, i: np.ndarray) -> np.ndarray:
@@ -147,23 +144,40 @@ class Level:
         self.p, self.w, self.ids = data[at : at + self.n], data[at + self.n : at + self.n + contexts], data[at + self.n + contexts :]
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The node of each (context, word), -1 where there is none."""
-        out = np.full(len(context), -1, np.int64)
+        """The node of each (context, word), -1 where there is none; equal questions are asked once."""
         if not len(context) or not self.n:
-            return out
-        some, back = np.unique(context, return_inverse=True)
-        lo, end = self.pointers.at(some)[back], self.pointers.at(some + 1)[back]
-        hi, live = end.copy(), np.flatnonzero(lo < end)
+            return np.full(len(context), -1, np.int64)
+        if len(self.w).bit_length() + self.bits < 63:
+            asked, back = np.unique(context << self.bits | word, return_inverse=True)
+            context, word = asked >> self.bits, asked & ((1 << self.bits) - 1)
+            new = np.r_[True, context[1:] != context[:-1]]
+            some, group = context[new], np.cumsum(new) - 1
+        else:
+            back = slice(None)
+            some, group = np.unique(context, return_inverse=True)
+        out = np.full(len(context), -1, np.int64)
+        lo, hi = self.pointers.at(some)[group], self.pointers.at(some + 1)[group]
+        # Ids are ranks of hashes, so a context's children lie evenly: look where a word
+        # should be, and halve now and then in case it isn't so.
+        live = np.flatnonzero(lo < hi)
+        lo, hi, want = lo[live], hi[live], word[live]
+        below, above, turn = np.zeros(len(live), np.int64), np.full(len(live), 1 << self.bits, np.int64), 0
         while len(live):
-            mid = (lo[live] + hi[live]) >> 1
-            less = unpack(self.ids, self.bits, mid) < word[live]
-            lo[live[less]] = mid[less] + 1
-            hi[live[~less]] = mid[~less]
-            live = live[lo[live] < hi[live]]
-        inside = np.flatnonzero(lo < end)
-        hit = inside[unpack(self.ids, self.bits, lo[inside]) == word[inside]]
-        out[hit] = lo[hit]
-        return out
+            turn += 1
+            if turn % 4:
+                mid = lo + ((hi - lo) * ((want - below) / (above - below))).astype(np.int64)
+                np.minimum(mid, hi - 1, out=mid)
+            else:
+                mid = (lo + hi) >> 1
+            got = unpack(self.ids, self.bits, mid)
+            hit = got == want
+            out[live[hit]] = mid[hit]
+            less = got < want
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+            below, above = np.where(less, got + 1, below), np.where(less, above, got)
+            go = np.flatnonzero(~hit & (lo < hi) & (want >= below) & (want < above))
+            live, lo, hi, want, below, above = live[go], lo[go], hi[go], want[go], below[go], above[go]
+        return out[back]
 
 
 @lru_cache(maxsize=64)
@@ -204,9 +218,9 @@ class Trie:
         some, back = np.unique(hashes, return_inverse=True)
         ids, counts = np.full(len(some), -1, np.int64), np.zeros(len(some), np.int64)
         starts = np.array([w[0] for w in self.words], np.uint64)
-        owner = np.searchsorted(starts, some, side="right") - 1
+        edges = [*np.searchsorted(some, starts).tolist(), len(some)]
         for k, (_, file, first) in enumerate(self.words):
-            mine = np.flatnonzero(owner == k)
+            mine = np.arange(edges[k], edges[k + 1])
             if not len(mine):
                 continue
             data = mapped(file)
@@ -220,9 +234,10 @@ class Trie:
     def counts_of(self, ids: np.ndarray) -> np.ndarray:
         out = np.zeros(len(ids), np.int64)
         firsts = np.array([w[2] for w in self.words])
-        owner = np.searchsorted(firsts, ids, side="right") - 1
-        for k in np.unique(owner).tolist():
-            mine = np.flatnonzero(owner == k)
+        by = np.argsort(ids)
+        edges = np.searchsorted(ids[by], [*firsts, self.vocabulary])
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            mine = by[edges[k] : edges[k + 1]]
             data = mapped(self.words[k][1])
             n = int(data[:8].view("<i8")[0])
             out[mine] = data[8 + 8 * n : 8 + 16 * n].view("<i8")[ids[mine] - firsts[k]]
@@ -236,9 +251,14 @@ class Trie:
         return -(-np.arange(self.shards + 1) * self.vocabulary // self.shards)
 
     def _per_shard(self, order: int, shard: np.ndarray, able: np.ndarray) -> Iterator[tuple[Level, np.ndarray]]:
-        for k in np.unique(shard[able]).tolist():
-            if k in self.levels[order - 2]:
-                yield mapped_level(self.levels[order - 2][k]), np.flatnonzero(able & (shard == k))
+        at = np.flatnonzero(able)
+        own = shard[at].astype(np.int16 if self.shards < 2**15 else np.int64)
+        by = np.argsort(own, kind="stable")
+        at, own = at[by], own[by]
+        edges = np.flatnonzero(np.r_[len(own) > 0, own[1:] != own[:-1]])
+        for a, z in zip(edges.tolist(), [*edges[1:].tolist(), len(own)], strict=True):
+            if int(own[a]) in self.levels[order - 2]:
+                yield mapped_level(self.levels[order - 2][int(own[a])]), at[a:z]
 
     def children(self, order: int, shard: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Nodes of ``order`` under context nodes of a shard; -1 where absent or where an argument is."""
@@ -278,11 +298,18 @@ class Trie:
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.tokens + 1 * (self.vocabulary + 1)))
 
-    def log_probabilities(self, ids: np.ndarray, counts: np.ndarray, before: np.ndarray) -> np.ndarray:
+    def log_probabilities(self, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
         """log10 of each token's probability after the tokens before it."""
-        out = self.unigram(counts)
+        out = np.zeros(len(ids))
         for order, (shard, context, node) in enumerate(self.walk(ids, before, len(self.levels) + 1), 2):
             seen = node >= 0
+            if order == 2:  # only tokens that no bigram ends at need their own counts
+                alone = np.flatnonzero(~seen)
+                known = alone[ids[alone] >= 0]
+                counts = np.zeros(len(ids), np.int64)
+                if len(known):
+                    counts[known] = self.counts_of(ids[known])
+                out[alone] = self.unigram(counts[alone])
             out += np.where(seen, 0.0, self.log_w(order, shard, np.where(seen, -1, context)))
             out[seen] = self.log_p(order, shard, node)[seen]
         return out
@@ -308,14 +335,14 @@ def count_words(docs: DataFrame) -> DataFrame:
     """h, n of the tokens of (train, text) rows that train."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.slices(batches, 4000):
+        for batch in W.gathered(batches, 4000):
             train = batch.filter(batch.column(0))
             parts = [h for _, _, h, _ in _tokens(train, 1)]
             if parts:
                 h, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
-    return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(W.lean(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def _write_words(counts: DataFrame, directory: str, shards: int) -> DataFrame:
@@ -337,7 +364,7 @@ def _write_words(counts: DataFrame, directory: str, shards: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([int(own.min()) - 2**63]), pa.array([file]), pa.array([len(own)], pa.int64()), pa.array([int(count.sum())], pa.int64())], names=["part", "low", "file", "words", "tokens"])
 
     dealt = counts.select(part.alias("part"), "h", "n").repartition("part")
-    return materialize(dealt.mapInArrow(run, "part long, low long, file string, words long, tokens long"), "words")
+    return materialize(dealt.mapInArrow(W.lean(run), "part long, low long, file string, words long, tokens long"), "words")
 
 
 def _ids_table(docs: DataFrame, trie) -> DataFrame:
@@ -354,7 +381,7 @@ def _ids_table(docs: DataFrame, trie) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(base), pa.array(known), lists], names=["id", "train", "base", "known", "ids"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, train boolean, base double, known long, ids array<int>")
+    return docs.mapInArrow(W.lean(run), f"id {kind}, train boolean, base double, known long, ids array<int>")
 
 
 def _flat(column: pa.Array, most: int = 500_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -369,35 +396,47 @@ def _flat(column: pa.Array, most: int = 500_000) -> Iterator[tuple[int, int, np.
         lo = hi
 
 
+def count_pairs(ids: DataFrame, trie: Trie) -> DataFrame:
+    """Order 2 of ``count_ngrams``: both words are in one number until they are counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.gathered(batches, 4000):
+            for _, _, tokens, _, before in _flat(batch.column(0), 2_000_000):
+                at = np.flatnonzero(before >= 1)
+                key, n = np.unique(tokens[at - 1] << 32 | tokens[at], return_counts=True)
+                if len(key):
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+
+    pairs = ids.where("train").select("ids").mapInArrow(W.lean(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    words = pairs.select(F.shiftright("key", 32).alias("first"), F.col("key").bitwiseAND(0xFFFFFFFF).cast("int").alias("word"), "n")
+    words = words.withColumn("shard", F.expr(f"first * {trie.shards} div {max(trie.vocabulary, 1)}"))
+    start = F.expr(f"(shard * {trie.vocabulary} + {trie.shards - 1}) div {trie.shards}")
+    return words.select((F.shiftleft("shard", 44) + F.col("first") - start).alias("context"), "word", "n")
+
+
 def count_ngrams(ids: DataFrame, trie, order: int) -> DataFrame:
     """context (shard and node), word, n of the training n-grams of an order whose context and ending are nodes."""
+    if order == 2:
+        return count_pairs(ids, trie.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = trie.value
-        starts = own.first_words()
-        for batch in W.slices(batches, 4000):
+        for batch in W.slices(batches):
             for _, _, tokens, _, before in _flat(batch.column(0), 2_000_000):
-                if order == 2:
-                    at = np.flatnonzero(before >= 1)
-                    key, n = np.unique(tokens[at - 1] << 32 | tokens[at], return_counts=True)
-                    first, word = key >> 32, key & 0xFFFFFFFF
-                    shard = own.shard_of(first)
-                    context = shard << 44 | (first - starts[shard])
-                else:
-                    for shards, _, nodes in own.walk(tokens, before, order - 1):
-                        pass
-                    at = np.flatnonzero((before >= order - 1) & (nodes >= 0))
-                    at = at[nodes[at - 1] >= 0]
-                    context, word = shards[at - 1] << 44 | nodes[at - 1], tokens[at]
-                    by = np.lexsort((word, context))
-                    context, word = context[by], word[by]
-                    new = np.flatnonzero(np.r_[len(by) > 0, (context[1:] != context[:-1]) | (word[1:] != word[:-1])])
-                    n = np.diff(np.r_[new, len(by)])
-                    context, word = context[new], word[new]
+                for shards, _, nodes in own.walk(tokens, before, order - 1):
+                    pass
+                at = np.flatnonzero((before >= order - 1) & (nodes >= 0))
+                at = at[nodes[at - 1] >= 0]
+                context, word = shards[at - 1] << 44 | nodes[at - 1], tokens[at]
+                by = np.lexsort((word, context))
+                context, word = context[by], word[by]
+                new = np.flatnonzero(np.r_[len(by) > 0, (context[1:] != context[:-1]) | (word[1:] != word[:-1])])
+                n = np.diff(np.r_[new, len(by)])
+                context, word = context[new], word[new]
                 if len(n):
                     yield pa.RecordBatch.from_arrays([pa.array(context), pa.array(word.astype(np.int32)), pa.array(n.astype(np.int64))], names=["context", "word", "n"])
 
-    return ids.where("train").select("ids").mapInArrow(run, "context long, word int, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
+    return ids.where("train").select("ids").mapInArrow(W.lean(run), "context long, word int, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
 
 
 def _write_level(counts: DataFrame, directory: str, trie, order: int, discount: float) -> DataFrame:
@@ -446,7 +485,7 @@ def _write_level(counts: DataFrame, directory: str, trie, order: int, discount:
             yield flush(now)
 
     dealt = counts.repartition(F.shiftright("context", 44)).sortWithinPartitions("context", "word")
-    return materialize(dealt.mapInArrow(run, "shard long, file string, nodes long"), f"level{order}")
+    return materialize(dealt.mapInArrow(W.lean(run), "shard long, file string, nodes long"), f"level{order}")
 
 
 def build(spark: SparkSession, docs: DataFrame, order: int, min_count: int, discount: float, shard_words: int) -> tuple[Trie, DataFrame]:
@@ -460,7 +499,7 @@ def build(spark: SparkSession, docs: DataFrame, order: int, min_count: int, disc
         trie.words.append((r.low + 2**63, r.file, sum(x.words for x in listed if x.part < r.part)))
         trie.tokens += r.tokens
     drop(counts)
-    ids = materialize(_ids_table(docs, spark.sparkContext.broadcast(trie)), "ids")
+    ids = materialize(_ids_table(docs, spark.sparkContext.broadcast(trie)), "ids", dictionary=False)
     for k in range(2, order + 1):
         shared = spark.sparkContext.broadcast(trie)
         kept = materialize(count_ngrams(ids, shared, k).where(F.col("n") >= min_count), f"counts{k}")
@@ -470,7 +509,7 @@ def build(spark: SparkSession, docs: DataFrame, order: int, min_count: int, disc
 
 
 def lm_scores(
-    spark: SparkSession, docs: DataFrame, held: Column, order: int = 3, min_count: int = 2, discount: float = 0.75, shard_words: int = 400_000, id_col: str = "doc_id", text_col: str = "text"
+    spark: SparkSession, docs: DataFrame, held: Column, order: int = 3, min_count: int = 2, discount: float = 0.75, shard_words: int = 200_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: all texts, learnt from those where ``held`` is false."""
     rows = docs.select(F.col(id_col).alias("id"), (~F.coalesce(held, F.lit(False))).alias("train"), F.col(text_col).alias("text"))
@@ -481,11 +520,10 @@ def lm_scores(
         own = shared.value
         for batch in batches:
             for lo, hi, tokens, at, before in _flat(batch.column(4)):
-                counts = np.where(tokens >= 0, own.counts_of(np.maximum(tokens, 0)), 0) if own.words else np.zeros(len(tokens), np.int64)
-                score = np.add.reduceat(own.log_probabilities(tokens, counts, before), at[:-1])
+                score = np.add.reduceat(own.log_probabilities(tokens, before), at[:-1])
                 columns = [batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(np.diff(at)), batch.column(3)[lo:hi], batch.column(2)[lo:hi], pa.array(score)]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "train", "n_tokens", "known", "base", "score"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    out = ids.select("id", "train", "base", "known", "ids").mapInArrow(run, f"id {kind}, train boolean, n_tokens long, known long, base double, score double")
+    out = ids.select("id", "train", "base", "known", "ids").mapInArrow(W.lean(run), f"id {kind}, train boolean, n_tokens long, known long, base double, score double")
     return out.select(F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", F.col("known").alias("n_known"), F.lit(trie.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -252,10 +252,12 @@ class Trie:
 
     def _per_shard(self, order: int, shard: np.ndarray, able: np.ndarray) -> Iterator[tuple[Level, np.ndarray]]:
         at = np.flatnonzero(able)
+        if not len(at):
+            return
         own = shard[at].astype(np.int16 if self.shards < 2**15 else np.int64)
         by = np.argsort(own, kind="stable")
         at, own = at[by], own[by]
-        edges = np.flatnonzero(np.r_[len(own) > 0, own[1:] != own[:-1]])
+        edges = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         for a, z in zip(edges.tolist(), [*edges[1:].tolist(), len(own)], strict=True):
             if int(own[a]) in self.levels[order - 2]:
                 yield mapped_level(self.levels[order - 2][int(own[a])]), at[a:z]
@@ -305,10 +307,10 @@ class Trie:
             seen = node >= 0
             if order == 2:  # only tokens that no bigram ends at need their own counts
                 alone = np.flatnonzero(~seen)
-                known = alone[ids[alone] >= 0]
+                known = alone[ids[alone] != -1]
                 counts = np.zeros(len(ids), np.int64)
                 if len(known):
-                    counts[known] = self.counts_of(ids[known])
+                    counts[known] = self.counts_of(np.where(ids[known] < 0, -2 - ids[known], ids[known]))
                 out[alone] = self.unigram(counts[alone])
             out += np.where(seen, 0.0, self.log_w(order, shard, np.where(seen, -1, context)))
             out[seen] = self.log_p(order, shard, node)[seen]
@@ -367,8 +369,12 @@ def _write_words(counts: DataFrame, directory: str, shards: int) -> DataFrame:
     return materialize(dealt.mapInArrow(W.lean(run), "part long, low long, file string, words long, tokens long"), "words")
 
 
-def _ids_table(docs: DataFrame, trie) -> DataFrame:
-    """id, train, base, known, and ids (-1 unknown) of the tokens of each text."""
+def _ids_table(docs: DataFrame, trie, min_count: int) -> DataFrame:
+    """id, train, base, known, and ids (32-bit, little-endian) of the tokens of each text.
+
+    -1 is an unknown word.  A word that trains less than ``min_count`` times can be in no
+    node beyond level one; it is -2 less its id, which all but unigrams take as unknown.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = trie.value
@@ -377,16 +383,19 @@ def _ids_table(docs: DataFrame, trie) -> DataFrame:
                 ids, counts = own.word_ids(h)
                 base = np.add.reduceat(own.unigram(counts), at[:-1])
                 known = np.add.reduceat((counts > 0).astype(np.int64), at[:-1])
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(base), pa.array(known), lists], names=["id", "train", "base", "known", "ids"])
+                ids = np.where((counts > 0) & (counts < min_count), -2 - ids, ids).astype("<i4")
+                blobs = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(base), pa.array(known), blobs], names=["id", "train", "base", "known", "ids"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(W.lean(run), f"id {kind}, train boolean, base double, known long, ids array<int>")
+    return docs.mapInArrow(W.lean(run), f"id {kind}, train boolean, base double, known long, ids binary")
 
 
 def _flat(column: pa.Array, most: int = 500_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows lo..hi, their ids end to end, offsets, and how many tokens of the text stand before each."""
-    offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    """Rows lo..hi of 32-bit ids, the ids end to end, offsets, and how many tokens of the text stand before each."""
+    _, places, data = column.buffers()
+    offsets = np.frombuffer(places, np.int32)[column.offset : column.offset + len(column) + 1] // 4
+    values = np.frombuffer(data, "<i4", count=int(offsets[-1])) if data is not None else np.zeros(0, "<i4")
     lo = 0
     while lo < len(column):
         hi = min(len(column), max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1))
@@ -402,7 +411,8 @@ def count_pairs(ids: DataFrame, trie: Trie) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.gathered(batches, 4000):
             for _, _, tokens, _, before in _flat(batch.column(0), 2_000_000):
-                at = np.flatnonzero(before >= 1)
+                at = np.flatnonzero((before >= 1) & (tokens >= 0))
+                at = at[tokens[at - 1] >= 0]
                 key, n = np.unique(tokens[at - 1] << 32 | tokens[at], return_counts=True)
                 if len(key):
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
@@ -499,7 +509,7 @@ def build(spark: SparkSession, docs: DataFrame, order: int, min_count: int, disc
         trie.words.append((r.low + 2**63, r.file, sum(x.words for x in listed if x.part < r.part)))
         trie.tokens += r.tokens
     drop(counts)
-    ids = materialize(_ids_table(docs, spark.sparkContext.broadcast(trie)), "ids", dictionary=False)
+    ids = materialize(_ids_table(docs, spark.sparkContext.broadcast(trie), min_count), "ids", dictionary=False)
     for k in range(2, order + 1):
         shared = spark.sparkContext.broadcast(trie)
         kept = materialize(count_ngrams(ids, shared, k).where(F.col("n") >= min_count), f"counts{k}")

@@ -1,0 +1,36 @@
+"""Cases where an operator or query once did less than the whole job."""
+
+import collections
+import math
+import random
+import zlib
+
+from tests.llm.test_operators import frame, prose
+from tidemark.llm import queries as own
+
+
+def test_lm_query_learns_what_occurs_once(spark, tmp_path):
+    """op7 against a brute-force model of all training n-grams, those seen once included."""
+    rng = random.Random(4)
+    texts = [prose(rng, 40).replace(",", "").replace(".", "") for _ in range(30)]
+    out = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(30)]
+    texts[out.index(True)] = texts[out.index(False)]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in own.queries()["op7_lm_scoring"](spark, str(tmp_path)).collect()}
+    tokens = [[*t.split(), "\n"] for t in texts]
+    c = collections.Counter(tuple(t[i : i + k]) for t, o in zip(tokens, out, strict=True) if not o for k in (1, 2, 3) for i in range(len(t) - k + 1))
+    n, v = sum(m for g, m in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+    used = collections.Counter()
+    for g, m in c.items():
+        used[g[:-1]] += m - 0.75
+
+    def p(w, h):
+        if not h:
+            return (c[w,] + 1) / (n + v + 1)
+        if h not in c:
+            return p(w, h[1:])
+        return max(c[(*h, w)] - 0.75, 0) / c[h] + (1 - used[h] / c[h]) * p(w, h[1:])
+
+    for i, t in enumerate(tokens):
+        score = sum(math.log10(p(w, tuple(t[max(0, j - 2) : j]))) for j, w in enumerate(t))
+        assert got[i].held_out == out[i] and abs(got[i].score - score) < 0.03 * len(t)

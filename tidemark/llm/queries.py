@@ -59,7 +59,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7 == 2
-    return lm_scores(spark, _table(spark, sf_dir, "documents"), held)
+    return lm_scores(spark, _table(spark, sf_dir, "documents"), held, min_count=1)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

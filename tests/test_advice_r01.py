@@ -5,8 +5,11 @@ import math
 import random
 import zlib
 
+import numpy as np
+
 from tests.llm.test_operators import frame, prose
 from tidemark.llm import queries as own
+from tidemark.llm import substring_dedup as sd
 
 
 def test_lm_query_learns_what_occurs_once(spark, tmp_path):
@@ -34,3 +37,47 @@ def test_lm_query_learns_what_occurs_once(spark, tmp_path):
     for i, t in enumerate(tokens):
         score = sum(math.log10(p(w, tuple(t[max(0, j - 2) : j]))) for j, w in enumerate(t))
         assert got[i].held_out == out[i] and abs(got[i].score - score) < 0.03 * len(t)
+
+
+def test_substring_keeps_text_between_passages(spark):
+    """A passage, own text and another passage, with an exact copy of the whole: own text stays where it is first."""
+    rng = random.Random(8)
+    passage, other, text, tail = (prose(rng, n) for n in (80, 60, 90, 40))
+    mixed = f"{passage} {text} {other} {tail}"
+    docs = [prose(rng, 30) + " " + passage, other + " " + prose(rng, 30), mixed, mixed, prose(rng, 50)]
+    spans = sd.repeated_spans(spark, frame(spark, docs)).toPandas().sort_values(["doc_id", "start"])
+    cut = {r.doc_id: r.text for r in sd.remove_spans(frame(spark, docs), sd.repeated_spans(spark, frame(spark, docs))).collect()}
+    assert (cut[0], cut[1], cut[4]) == (docs[0], docs[1], docs[4])
+    assert text in cut[2] and tail in cut[2] and len(cut[2]) < len(mixed) - len(passage) // 2 - len(other) // 2
+    assert len(cut[3]) < 150
+    two = spans[spans.doc_id == 2]
+    assert two.kept.tolist() == [True, False, True, False, True] and two.first_doc_id.tolist() == [2, 0, 2, 1, 2]
+    assert (two.start.iloc[1:].to_numpy() == two.end.iloc[:-1].to_numpy()).all()
+    assert not spans[spans.doc_id == 3].kept.any() and (spans[~spans.kept].words >= 16).all()
+    for r in spans.itertuples():
+        assert abs(r.words - len(docs[r.doc_id][r.start : r.end].split())) <= 1
+
+
+def test_substring_first_units_stay(spark):
+    """Of random mosaics of passages, with copies: no unit that occurs first is cut, and every long repeat is."""
+    rng = random.Random(15)
+    pool = [prose(rng, rng.choice([6, 12, 30, 60])) for _ in range(20)]
+    docs = [" ".join(rng.choice(pool) if rng.random() < 0.6 else prose(rng, 25) for _ in range(rng.randrange(1, 8))) for _ in range(60)]
+    docs += [docs[k] for k in range(0, 60, 4)]
+    docs = [f"{rng.random():.16f} {t}" for t in docs]  # cuts in a text's first bytes may depend on the text before it
+    spans = sd.repeated_spans(spark, frame(spark, docs)).collect()
+    owner, places = collections.defaultdict(set), []
+    for i, t in enumerate(docs):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        for d, a, z, _ in zip(*(x.tolist() for x in sd.units(raw, np.array([0, len(raw)]), 20, 128, 40)), strict=True):
+            owner[d].add(i)
+            places.append((i, a, z, d))
+    gone = {i: [False] * len(t) for i, t in enumerate(docs)}
+    for r in spans:
+        if not r.kept:
+            assert not any(gone[r.doc_id][r.start : r.end])
+            gone[r.doc_id][r.start : r.end] = [True] * (r.end - r.start)
+    for i, a, z, d in places:
+        if len(owner[d]) > 1 and min(owner[d]) == i:
+            assert not any(gone[i][a:z])
+    assert sum(map(sum, gone.values())) > sum(len(docs[k]) for k in range(60, 75)) * 0.7

@@ -9,12 +9,14 @@ of the next ones as make ``least`` bytes; its digest is a 64-bit hash of its byt
    id, and those with two ids or more are repeated.  A common passage is a row per task.
 2. A second pass over the texts cuts them again, keeps what may be repeated by a bitmap
    of bounded size, and joins it with the repeated digests.
-3. Per document, repeated units that touch are one span.  Spans of ``min_words`` words
-   or more are returned; cuts fall inside a passage, so its span is shorter than the
+3. Per document, repeated units that touch are one run.  Runs of ``min_words`` words or
+   more are returned; cuts fall inside a passage, so its run is shorter than the
    passage by about a chunk at either end.
 
-A span is kept where all of its parts occur first, by id; elsewhere it is a repeat that
-``remove_spans`` cuts out.
+A run is cut in spans.  What units cover that occur here first, by id, is kept; what is
+left of the run is a repeat that ``remove_spans`` cuts out, if it has ``min_words`` words
+itself, and else is kept too.  So the first occurrence of every unit stays, and a kept
+span may have fewer words.
 
 Nulls, empties, repeats: null, empty and short texts have no spans; a text of one byte
 value is cut at every byte where no other cut is in reach.  Rows that repeat an id are one document, and what
@@ -145,8 +147,17 @@ def _places(docs: DataFrame, mean: int, most: int, least: int, bits: np.ndarray)
     return docs.mapInArrow(W.lean(run), "id long, digest long, start long, `end` long, w0 long, w1 long")
 
 
+def _rest(runs: tuple[np.ndarray, ...], parts: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """What disjoint ascending parts leave of disjoint ascending runs: start, end, and the words before either."""
+    left, left_w = np.r_[runs[0], parts[1]], np.r_[runs[2], parts[3]]
+    right, right_w = np.r_[runs[1], parts[0]], np.r_[runs[3], parts[2]]
+    a, z = np.argsort(left, kind="stable"), np.argsort(right, kind="stable")
+    some = left[a] < right[z]
+    return left[a][some], right[z][some], left_w[a][some], right_w[z][some]
+
+
 def _spans(min_words: int):
-    """Over rows sorted by id and start: units that touch become a span."""
+    """Over rows sorted by id and start: units that touch are a run, cut in spans that occur first and that don't."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -164,15 +175,34 @@ def _spans(min_words: int):
     def spans(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         ids, start, end, w0, w1, first = c
         new = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (start[1:] > end[:-1])])
-        last = np.r_[new[1:], len(ids)] - 1
-        top = np.maximum.reduceat(end, new)
-        words = np.maximum.reduceat(w1, new) - w0[new]
-        kept = np.minimum.reduceat((first == ids).astype(np.int64), new) == 1
-        source = np.minimum.reduceat(first, new)
-        good = words >= min_words
-        if good.any():
-            arrays = [ids[last], start[new], top, words, source]
-            yield pa.RecordBatch.from_arrays([*(pa.array(a[good].astype(np.int64)) for a in arrays), pa.array(kept[good])], names=["doc_id", "start", "end", "words", "first_doc_id", "kept"])
+        whole = np.maximum.reduceat(w1, new) - w0[new] >= min_words
+        if not whole.any():
+            return
+        # Edges of all runs on one line: a run's number above its characters.
+        line = np.cumsum(np.isin(np.arange(len(ids)), new)) - 1
+        base = line * (int(end.max()) + 1)
+        runs = base[new] + start[new], base[new] + np.maximum.reduceat(end, new), w0[new], np.maximum.reduceat(w1, new)
+        runs = tuple(x[whole] for x in runs)
+        # What occurs here first stays; the rest of a run is a repeat, if it is long enough by itself.
+        own = np.flatnonzero((first == ids) & whole[line])
+        lo, hi = base[own] + start[own], np.maximum.accumulate(base[own] + end[own])
+        head = np.flatnonzero(np.r_[len(own) > 0, lo[1:] > hi[:-1]])
+        tail = np.r_[head[1:], len(own)][: len(head)] - 1
+        again = _rest(runs, (lo[head], hi[tail], w0[own][head], np.maximum.reduceat(w1[own], head) if len(own) else w1[own]))
+        again = tuple(x[again[3] - again[2] >= min_words] for x in again)
+        kept = _rest(runs, again)
+        parts = tuple(np.concatenate(x) for x in zip(again, kept, strict=True))
+        flag = np.arange(len(parts[0])) >= len(again[0])
+        unit = np.flatnonzero(first != ids)
+        at = np.searchsorted(again[1], base[unit] + start[unit], side="right")
+        unit, at = unit[at < len(again[0])], at[at < len(again[0])]
+        inside = base[unit] + end[unit] > again[0][at]
+        source = np.full(len(again[0]), np.iinfo(np.int64).max)
+        np.minimum.at(source, at[inside], first[unit[inside]])
+        by = np.argsort(parts[0], kind="stable")
+        row = new[parts[0] // (int(end.max()) + 1)]
+        arrays = [ids[row], parts[0] - base[row], parts[1] - base[row], parts[3] - parts[2], np.r_[source, ids[row[flag]]]]
+        yield pa.RecordBatch.from_arrays([*(pa.array(a[by].astype(np.int64)) for a in arrays), pa.array(flag[by])], names=["doc_id", "start", "end", "words", "first_doc_id", "kept"])
 
     return run
 

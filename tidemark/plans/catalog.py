@@ -469,10 +469,10 @@ def scalar_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def truncate_width(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.substring("text", 1, 12), F.lit("直播é"))
+    text = F.concat("text", F.lit("直播é"))
     return ad.table(spark, d, "documents").select("doc_id", U.truncate_width(text, 14).alias("short"), U.width(text).alias("width"))
 
 
 @query
 def wrap_width(spark: SparkSession, d: str) -> DataFrame:
-    return ad.table(spark, d, "documents").select("doc_id", U.wrap_width(F.substring("text", 1, 120), 30).alias("wrapped"))
+    return ad.table(spark, d, "documents").select("doc_id", U.wrap_width("text", 30).alias("wrapped"))

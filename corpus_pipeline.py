@@ -5,8 +5,10 @@ returns a DataFrame, which the caller writes as Parquet and rereads as the next
 ``docs``.  All but the last return the columns of ``docs``.  ``run`` does so in the
 cluster's shared folder.
 
-Nulls, empties, repeats: as the operators define them; a document without id takes no
-part in groups of copies by id and is kept unless its quality is rejected.  Extra
+Nulls, empties, repeats: as the operators define them, and each row by its own verdict:
+texts that share an id are judged apart, equal rows alike.  A document without id takes
+no part in groups of copies by id and is kept unless its quality is rejected or it copies
+a benchmark item.  Extra
 columns of ``docs`` pass through all stages but the last.  Empty tables give empty
 results.
 """
@@ -17,16 +19,16 @@ import functools
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.decontaminate import contaminated
-from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.exact_dedup import exact_dedup, normalised
 from tidemark.llm.ngram_join import jaccard_components
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import quality_scores
 from tidemark.llm.queries import tokenizer_path
-from tidemark.llm.scratch import delete, materialize, recording, settle, shared_root, small_batches
+from tidemark.llm.scratch import delete, is_empty, materialize, recording, settle, shared_root, small_batches
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -50,35 +52,72 @@ def _stage(function: Stage) -> Stage:
     return run_stage
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose id is in ``dropped`` (doc_id), a table written once."""
-    gone = materialize(dropped.where("doc_id is not null").select("doc_id").distinct(), "dropped")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def _hash(*columns: str) -> Column:
+    """64 bits of a row's values; a null is a value of its own."""
+    return F.xxhash64(*columns, *(F.col(c).isNull() for c in columns))
+
+
+def _without(docs: DataFrame, key: Column, dropped: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose key is in ``dropped`` (one column), a table written once.
+
+    Rows of one key are all that a stage judges alike, so each row goes by its own verdict.
+    """
+    gone = materialize(dropped.toDF("__gone").where("__gone is not null").distinct(), "dropped")
+    marked = docs.withColumn("__key", key)
+    return marked.join(gone, marked["__key"] == gone["__gone"], "left_anti").select(*docs.columns)
 
 
 @_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    scores = quality_scores(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scores.where("not kept"))
+    key = _hash("text", "lang", "source", "n_chars")
+    scores = quality_scores(spark, docs.withColumn("__name", key), spark.read.parquet(f"{sf_dir}/labels.parquet"), name_col="__name")
+    return _without(docs, key, scores.where("not kept").select("doc_id"))
 
 
 @_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts, the one with the smallest id."""
-    return _without(docs, exact_dedup(spark, docs).where("not kept"))
+    gone = exact_dedup(spark, docs).where("not kept and doc_id is not null")
+    return _without(docs, F.xxhash64("doc_id", F.sha2(normalised(F.col("text")), 256)), gone.select(F.xxhash64("doc_id", "text_sha256")))
+
+
+def _further_texts(docs: DataFrame) -> DataFrame | None:
+    """__id, __text (hash), __own: an id of its own for each further text of an id; None where every id has one text."""
+    text = _hash("text")
+    several = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min(text).alias("lo"), F.max(text).alias("hi"))
+    several = materialize(several.where("lo != hi").select("__id", "lo"), "several")
+    if is_empty(several):
+        return None
+    top = docs.agg(F.max("doc_id")).first()[0]
+    rows = docs.select(F.col("doc_id").alias("__id"), text.alias("__text")).join(several, "__id").where("__text != lo").select("__id", "__text").distinct()
+    return materialize(rows.withColumn("__own", F.monotonically_increasing_id() + F.lit(top + 1)), "further")
 
 
 @_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by shingle similarity, the one with the smallest id."""
-    return _without(docs, jaccard_components(spark, docs).where("component_id != doc_id"))
+    further = _further_texts(docs)
+    if further is None:
+        return _without(docs, F.col("doc_id"), jaccard_components(spark, docs).where("component_id != doc_id").select("doc_id"))
+    # Texts that share an id are judged apart.
+    marked = docs.withColumn("__text", _hash("text"))
+    joined = marked.join(further.withColumnRenamed("__text", "__other"), (F.col("doc_id") == F.col("__id")) & (F.col("__text") == F.col("__other")), "left")
+    own = joined.select(*docs.columns, F.coalesce("__own", "doc_id").alias("__name"))
+    parts = jaccard_components(spark, own, id_col="__name").where("component_id is not null").select(F.col("__name").alias("name"), "component_id")
+    parts = parts.join(further, parts["name"] == further["__own"], "left").select("name", "component_id", F.coalesce("__id", "name").alias("id"))
+    parts = materialize(parts.distinct(), "parts")
+    first = parts.groupBy("component_id").agg(F.min(F.struct("id", "name")).alias("first"))
+    gone = parts.join(first, "component_id").where("name != first.name").select("name")
+    return _without(own, F.col("__name"), gone).select(*docs.columns)
 
 
 @_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that copy no benchmark item."""
-    return _without(docs, contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    key = _hash("text")
+    found = contaminated(spark, docs.withColumn("__name", key), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__name")
+    return _without(docs, key, found.select("doc_id"))
 
 
 @_stage

@@ -8,7 +8,9 @@ import zlib
 
 import numpy as np
 
+import corpus_pipeline as cp
 from tests.llm.test_operators import frame, prose
+from tests.llm.test_pipeline import tables
 from tidemark.llm import queries as own
 from tidemark.llm import substring_dedup as sd
 from tidemark.plans import catalog
@@ -124,3 +126,28 @@ def test_widths_read_whole_texts(spark, tmp_path):
         fits = whole is None or columns(whole) <= 14
         cut = whole if fits else max((whole[:k] for k in range(len(whole)) if columns(whole[:k]) <= 11), key=len) + "..."
         assert short[i] == (cut, None if whole is None else columns(whole))
+
+
+def test_pipeline_judges_rows(spark, tmp_path):
+    """Rejected and contaminated rows without id go; of an id with two texts only the text that is a copy goes."""
+    rng = random.Random(31)
+    good = [prose(rng, 60) for _ in range(90)]
+    bad = [" ".join(w + "%%%" for w in prose(rng, 60).split()) for _ in range(41)]
+    item = " ".join(f"q{rng.randrange(10**6)}" for _ in range(30))
+    alone, close, both = (prose(rng, 60) for _ in range(3))
+    near = " ".join([*close.split()[:-1], "other"])
+    docs = [*enumerate([*good, *bad[:40]]), (None, bad[40]), (None, item), (None, alone)]
+    docs += [(200, both), (201, both), (201, prose(rng, 60)), (300, close), (301, near), (301, prose(rng, 60)), (302, alone + " x"), (302, alone + " y")]
+    sf = tables(spark, tmp_path, docs, [(i, int(i < 90), 0) for i in range(130) if i % 4], [(1, item)])
+    now = spark.read.parquet(f"{sf}/documents.parquet")
+    left = []
+    for k, (_, stage) in enumerate(cp.STAGES[:-1]):
+        out = stage(spark, now, sf)
+        assert out.columns == now.columns
+        out.write.parquet(f"{tmp_path}/{k}")
+        now = spark.read.parquet(f"{tmp_path}/{k}")
+        left.append({(r.doc_id, r.text) for r in now.collect()})
+    assert (None, bad[40]) not in left[0] and {(None, item), (None, alone), *docs[133:]} <= left[0]
+    assert (201, both) not in left[1] and {(200, both), docs[135], *docs[136:]} <= left[1]
+    assert (301, near) not in left[2] and {(300, close), docs[138]} <= left[2] and len({docs[139], docs[140]} & left[2]) == 1
+    assert (None, item) not in left[3] and left[3] == left[2] - {(None, item)}

@@ -248,8 +248,13 @@ def quality_scores(
     sure: float = 0.95,
     reject_below: float = 0.3,
     id_col: str = "doc_id",
+    name_col: str | None = None,
 ) -> DataFrame:
-    """doc_id, text_score, meta_score, score (probability of good quality), kept."""
+    """doc_id, text_score, meta_score, score (probability of good quality), kept.
+
+    ``name_col`` is what the result has as doc_id where it isn't the id that labels have.
+    """
+    name_col = name_col or id_col
     model = fit(spark, docs, labels, most_labelled, most_pool, rounds, sure, id_col)
     shared = spark.sparkContext.broadcast(model)
 
@@ -261,5 +266,5 @@ def quality_scores(
                 scores = [np.round(s.astype(np.float64), 9) for s in scores]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], *(pa.array(s) for s in scores), pa.array(scores[2] >= reject_below)], names=["doc_id", "text_score", "meta_score", "score", "kept"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return _records(docs, id_col).mapInArrow(W.lean(run), f"doc_id {kind}, text_score double, meta_score double, score double, kept boolean")
+    kind = docs.schema[name_col].dataType.simpleString()
+    return _records(docs, name_col).mapInArrow(W.lean(run), f"doc_id {kind}, text_score double, meta_score double, score double, kept boolean")

@@ -315,29 +315,28 @@ def test_elias_fano(values, bits):
     assert lm.unpack(lm.pack(narrow.astype(np.uint64), bits), bits, np.arange(len(narrow))).tolist() == narrow.tolist()
 
 
-@pytest.mark.parametrize("order,shard_words", [(2, 10**6), (3, 7)])
-def test_lm(spark, texts, order, shard_words):
+@pytest.mark.parametrize("order,shard_words,shard_tokens", [(2, 10**6, 10**6), (3, 7, 60), (4, 10**6, 700)])
+def test_lm(spark, texts, order, shard_words, shard_tokens):
     docs = [t for t in texts if t is None or len(t) < 20_000]
     held = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7 == 2
-    got = {r.doc_id: r for r in lm.lm_scores(spark, frame(spark, docs), held, order=order, shard_words=shard_words).collect()}
+    got = {r.doc_id: r for r in lm.lm_scores(spark, frame(spark, docs), held, order=order, shard_words=shard_words, shard_tokens=shard_tokens).collect()}
     lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
     tokens = [[*re.findall(r"[^\x20\x09-\x0D]+", lower(t or "")), "\n"] for t in docs]
     out = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(docs))]
     c = {k: collections.Counter(tuple(t[i : i + k]) for t, o in zip(tokens, out, strict=True) if not o for i in range(len(t) - k + 1)) for k in range(1, order + 1)}
     n, v = sum(c[1].values()), len(c[1])
-    kept = {k: {g: m for g, m in c[k].items() if m >= 2} for k in range(2, order + 1)}
     used = collections.Counter()
-    for k in kept:
-        for g, m in kept[k].items():
+    for k in range(2, order + 1):
+        for g, m in c[k].items():
             used[g[:-1]] += m - 0.75
 
     def p(w, h):
         if not h:
             return (c[1][w,] + 1) / (n + v + 1)
-        if h not in (c[1] if len(h) == 1 else kept[len(h)]):
+        if h not in c[len(h)] or h[-1] == "\n":
             return p(w, h[1:])
         total = c[len(h)][h]
-        return max(kept[len(h) + 1].get((*h, w), 0.75) - 0.75, 0) / total + (1 - used[h] / total) * p(w, h[1:])
+        return max(c[len(h) + 1].get((*h, w), 0.75) - 0.75, 0) / total + (1 - used[h] / total) * p(w, h[1:])
 
     for i, t in enumerate(tokens):
         r = got[i]

@@ -159,14 +159,17 @@ class Level:
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The node of each (context, word), -1 where there is none; contexts ascend."""
         out = np.full(len(context), -1, np.int64)
-        if not len(context) or not self.n:
+        if not len(context):
             return out
         new = np.r_[True, context[1:] != context[:-1]]
         some, group = context[new], np.cumsum(new) - 1
         lo, hi = self.pointers.at(some)[group], self.pointers.at(some + 1)[group]
+        only = np.flatnonzero(hi - lo == 1)  # most contexts have one child
+        same = only[unpack(self.ids, self.bits, lo[only]) == word[only]]
+        out[same] = lo[same]
         # Ids are ranks of hashes, so a context's children lie evenly: look where a word
         # should be, and halve now and then in case it isn't so.
-        live = np.flatnonzero(lo < hi)
+        live = np.flatnonzero(hi - lo > 1)
         lo, hi, want = lo[live], hi[live], word[live]
         below, above, turn = np.zeros(len(live), np.int64), np.full(len(live), 1 << self.bits, np.int64), 0
         while len(live):

@@ -13,6 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidemark.llm import exact_dedup as ed
 from tidemark.llm import ngram_lm as lm
@@ -94,10 +95,38 @@ def test_best_fit(sizes):
 
 
 def test_encoder(texts):
-    own = pk.Encoder(tokenizer_path())
-    assert own.agrees()
+    own, theirs = pk.Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    assert own.agrees() and own.ids("x <|endoftext|> y") == [87, 220, 50256, 331]
     for t in [t for t in texts if t is not None and len(t) < 5000]:
-        assert own.ids(t) == own._theirs(t)
+        assert own.ids(t) == theirs.encode(t, add_special_tokens=False).ids
+
+
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "a", "'ll", "漢", "\n", "12", "<", "|>", "\u00a0", "🙂"]), max_size=12))
+@settings(max_examples=150, deadline=None)
+def test_encoder_reads_added_tokens(parts):
+    text = "".join(parts)
+    assert pk.encoder(tokenizer_path(), True).ids(text) == Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
+
+
+def brute_rounds(sizes, groups, fan_in, capacity):
+    """Sequences if every bin of a group goes up the tree."""
+    level = [[s for i, s in enumerate(sizes) if i % groups == g] for g in range(groups)]
+    while True:
+        level = [pk.best_fit(np.array(g, np.int64), capacity)[2].tolist() for g in level]
+        if len(level) == 1:
+            return len(level[0])
+        level = [sum(level[k : k + fan_in], []) for k in range(0, len(level), fan_in)]
+
+
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=200), st.integers(2, 20), st.integers(2, 4))
+@settings(max_examples=200, deadline=None)
+def test_emptiest_bins_are_enough(sizes, groups, fan_in):
+    level, done = [[s for i, s in enumerate(sizes) if i % groups == g] for g in range(groups)], 0
+    while len(level) > 1:
+        bins = [sorted(pk.best_fit(np.array(g, np.int64), 64)[2].tolist()) for g in level]
+        done += sum(len(b[fan_in + 1 :]) for b in bins)
+        level = [sum((b[: fan_in + 1] for b in bins[k : k + fan_in]), []) for k in range(0, len(bins), fan_in)]
+    assert done + len(pk.best_fit(np.array(level[0], np.int64), 64)[2]) == brute_rounds(sizes, groups, fan_in, 64)
 
 
 @pytest.mark.parametrize("group", [20_000, 7])
@@ -116,8 +145,7 @@ def test_packing(spark, texts, group):
     assert len(got[got.doc_id == 900]) == 2
     for _, rows in got.sort_values("offset").groupby("sequence_id"):
         assert rows.offset.tolist() == [0, *np.cumsum(rows.length).tolist()[:-1]] and rows.length.sum() <= 1024
-    if group > 7:
-        assert got.sequence_id.nunique() <= math.ceil(total / 1024) + 3
+    assert got.sequence_id.nunique() <= math.ceil(total / 1024) + 3
     assert pk.pack(spark, docs.limit(0), tokenizer_path()).count() == 0
 
 

@@ -6,21 +6,26 @@
    the partitions.  Each partition packs its own by best fit, longest first.
 3. Bins that are full to within ``slack`` are final.  Underfull bins go up a tree,
    ``fan_in`` groups at a time, as items of their fill, and are best-fitted again.
-   After best fit a group holds at most one bin that is half full or less, so what
-   still can combine shrinks at each level; of fuller bins a group sends up the
-   ``carry`` emptiest and finishes the rest as they are, which bounds every task.
-4. The bins' final numbers are joined back to the pieces through the rounds' maps.
+   After best fit a group holds at most one bin that is half full or less, and two
+   fuller ones never fit into one; so a round of ``fan_in`` groups saves ``fan_in``
+   sequences at most, and needs no more fuller bins to do so.  The ``fan_in`` + 1
+   emptiest bins of a group go up and the rest are final, which bounds every task and
+   gives as few sequences as sending all of them up.
+4. The rounds' maps from bins to bins, which are small, are composed and then joined to
+   the pieces once.
 
 Nulls, empties, repeats: a null text counts as empty and yields one piece that holds
-the end token alone.  A repeated id repeats its pieces; each copy has its own place
-(``number`` tells pieces apart).  A null id is kept as null.  Empty tables give empty results.
-Further columns of the input are not read.
+the end token alone.  A text of any length is cut into as many pieces as it takes.  A
+repeated id repeats its pieces; each copy has its own place (``number`` tells pieces
+apart).  A null id is kept as null.  Equal sizes are taken in the order of ``number``.
+Empty tables give empty results.  Further columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,41 +48,48 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of a public byte-level BPE file, special strings read as ordinary text.
+    """Ids of a public byte-level BPE file, as ``tokenizers`` gives them.
 
-    A ``tokenizers`` file whose ids are its merge ranks runs on tiktoken's merge loop,
-    which gives the same ids about four times as fast; any other file, and any text
-    that loop refuses, goes to ``tokenizers`` itself.
+    A file whose merges give tokens in the order of their ids runs on tiktoken's merge
+    loop, which gives the same ids about four times as fast.  Any other file, any text
+    that holds one of the file's added tokens, and any text that loop refuses, goes to
+    ``tokenizers`` itself.
     """
 
     def __init__(self, path: str, fast: bool = True):
-        self.path, self.fast, self.slow = path, self._ranks(path) if fast else None, None
+        self.path, self.fast, self.slow, self.added = path, None, None, None
+        if fast:
+            self._load()
 
     def agrees(self) -> bool:
         """Whether both ways give the same ids on texts that tell them apart."""
         probe = ["Plain words, 12345 and it's  two  spaces\n\n\ttab", "ünïcödé 漢字 🙂   x'll", " <|endoftext|> ", ""]
-        return self.fast is not None and all(self._own(t) == self._theirs(t) for t in probe)
-
-    @staticmethod
-    def _ranks(path: str):
-        spec = json.load(open(path, encoding="utf-8"))
-        pre = spec.get("pre_tokenizer") or {}
-        if spec.get("model", {}).get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
-            return None
+        return self.fast is not None and all(self.ids(t) == self._theirs(t) for t in probe)
+
+    def _load(self) -> None:
+        """The merge loop and the added tokens' pattern, if the file allows the loop."""
+        with open(self.path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre, model = spec.get("pre_tokenizer") or {}, spec.get("model", {})
+        if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
+            return
+        added = [t["content"] for t in spec.get("added_tokens", ())]
+        plain = {token: i for token, i in model["vocab"].items() if token not in added}
+        made = [plain.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+        single = {i for token, i in plain.items() if len(token) == 1}
+        if None in made or made != sorted(set(made)) or not single.isdisjoint(made) or len(single) + len(made) != len(plain) or max(single) > made[0]:
+            return
         import tiktoken
 
-        alphabet, special = _byte_alphabet(), {t["content"] for t in spec.get("added_tokens", ())}
+        alphabet = _byte_alphabet()
         try:
-            ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+            ranks = {bytes(alphabet[c] for c in token): i for token, i in plain.items()}
         except KeyError:
-            return None
+            return
         # The published splitting pattern of byte-level BPE.
         pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        made = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return made.encode_ordinary
-
-    def _own(self, text: str) -> list[int]:
-        return self.fast(text)
+        self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
 
     def _theirs(self, text: str) -> list[int]:
         if self.slow is None:
@@ -85,14 +97,13 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(self.path)
-            self.slow.encode_special_tokens = True
         return self.slow.encode(text, add_special_tokens=False).ids
 
     def ids(self, text: str) -> list[int]:
-        """The text's ids, without special tokens."""
-        if self.fast is not None:
+        """The text's ids; none is put around them."""
+        if self.fast is not None and (self.added is None or not self.added.search(text)):
             try:
-                return self._own(text)
+                return self.fast(text)
             except Exception:  # its splitter's stack has a limit on long runs of blanks
                 pass
         return self._theirs(text)
@@ -174,6 +185,12 @@ def _round(items: DataFrame, capacity: int, level: int) -> DataFrame:
     return items.groupBy("grp").applyInPandas(fit, "item long, bin long, place long, fill long, grp int, first boolean")
 
 
+def _followed(items: DataFrame, moved: DataFrame) -> DataFrame:
+    """item, bin, place after the bins of ``items`` that are items of ``moved`` have moved on."""
+    step = moved.select(F.col("item").alias("bin"), F.col("bin").alias("next"), F.col("place").alias("shift"))
+    return items.join(step, "bin", "left").select("item", F.coalesce("next", "bin").alias("bin"), (F.col("place") + F.coalesce("shift", F.lit(0))).alias("place"))
+
+
 def pack(
     spark: SparkSession,
     docs: DataFrame,
@@ -183,7 +200,6 @@ def pack(
     items_per_group: int = 20_000,
     fan_in: int = 8,
     slack: int = 2,
-    carry: int = 20_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     payload: dict[str, Column] | None = None,
@@ -204,16 +220,18 @@ def pack(
     while groups > 1:
         groups = -(-groups // fan_in)
         under = rounds[-1].where(F.col("first") & (F.col("fill") < capacity - slack))
-        # The emptiest bins of a child go up, ``carry`` to a task of the next round.
         rank = F.row_number().over(Window.partitionBy("grp").orderBy("fill", "bin"))
-        up = under.withColumn("rank", rank).where(F.col("rank") <= max(1, carry // fan_in))
+        up = under.withColumn("rank", rank).where(F.col("rank") <= fan_in + 1)
         up = up.select(F.col("bin").alias("item"), F.col("fill").alias("size"), F.floor(F.col("grp") / fan_in).cast("int").alias("grp"))
         rounds.append(materialize(_round(up, capacity, len(rounds)), f"round{len(rounds)}"))
-    # Follow each bin to the bin it became, adding the places.
+    # Follow each bin that went up to the bin it became, adding the places.
     where = rounds[0].select("item", "bin", "place")
-    for table in rounds[1:]:
-        step = table.select(F.col("item").alias("bin"), F.col("bin").alias("next"), F.col("place").alias("shift"))
-        where = where.join(step, "bin", "left").select("item", F.coalesce("next", "bin").alias("bin"), (F.col("place") + F.coalesce("shift", F.lit(0))).alias("place"))
+    moved = None
+    for table in reversed(rounds[1:]):
+        here = table.select("item", "bin", "place")
+        moved = here if moved is None else _followed(here, moved)
+    if moved is not None:
+        where = _followed(where, moved)
     columns = ["number", "doc_id", "piece", "start", "length", *payload]
     placed = short.join(where, short["number"] == where["item"]).select(*columns, F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))
     # A full piece is a sequence of its own, numbered apart from the bins.

@@ -329,6 +329,15 @@ def test_warc_repeats(spark, rows):
     assert rows(got, "page_id", "record_type", "refers_to") == sorted([(1, "response", None), (1, "response", None), (None, "revisit", 1)], key=repr)
 
 
+def test_warc_text_ids(spark, rows):
+    data = spark.createDataFrame([("b\r\nx", "u", "x"), ("a", "u", "x"), ("", "u", "y"), (None, "u", "z")], "page_id string, url string, html string")
+    index = wa.write_warc(spark, data)
+    got = wa.read_warc(index, span=10)
+    assert rows(got, "page_id", "record_type", "refers_to") == sorted([("a", "response", None), ("b\r\nx", "revisit", "a"), ("", "response", None), (None, "response", None)], key=repr)
+    with pytest.raises(TypeError):
+        wa.write_warc(spark, data.select(F.lit(1.5).alias("page_id"), "url", "html"))
+
+
 # 7
 
 

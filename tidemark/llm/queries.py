@@ -85,6 +85,18 @@ SQL = {
         SELECT d.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size,
                d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(d.norm) AS text_sha256
         FROM d JOIN g ON d.norm = g.norm""",
+    # Base32 of the 40 hex digits of SHA-1: five of them are four letters.
+    "op6_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+             h AS (SELECT *, sha1(body) AS hex, octet_length(encode(body)) AS size FROM p),
+             g AS (SELECT hex, min(page_id) AS first_id FROM h GROUP BY hex),
+             v AS (SELECT h.*, g.first_id, list_transform(range(8), lambda i: CAST('0x' || substr(h.hex, CAST(i * 5 + 1 AS INTEGER), 5) AS BIGINT)) AS fives FROM h JOIN g ON h.hex = g.hex)
+        SELECT page_id, CAST(size AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                 CAST((fives[i // 4 + 1] >> CAST(15 - 5 * (i % 4) AS INTEGER)) % 32 + 1 AS INTEGER), 1)), '') AS payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM v""",
 }
 
 

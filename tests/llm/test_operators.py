@@ -414,9 +414,9 @@ RULES = [uf.Rule("block", "net/"), uf.Rule("allow", "example.net/en/"), uf.Rule(
 URLS = [None, "", "nohost", "http://A.Example.NET/en/1", "http://example.net/en", "http://example.net?x=/en/", "http://net/", "http://internet/", "https://b.org/fr/?q", "ftp://x.org/FR/", "http://m.example.com/de/1#a", "http://xexample.com/de/", "a://b://c/d", "http://é.net/\n?x", "http://x.net#/"]
 
 
-@pytest.mark.parametrize("extra", [0, 300])
+@pytest.mark.parametrize("extra", [0, 194, 195, 300])
 def test_url_rules(spark, extra):
-    rules = RULES + [uf.Rule("block", f"h{i}.invalid/") for i in range(extra)]
+    rules = [uf.Rule("allow", "net/"), uf.Rule("block", "org/fr/"), *RULES] + [uf.Rule("block", f"h{i}.invalid/") for i in range(extra)]
     data = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(URLS)], "page_id bigint, url string, host string, path string")
     labelled = spark.createDataFrame([], "url string, blocked boolean")
     got = {r.page_id: r for r in uf.judge_urls(spark, data, rules, labelled).collect()}
@@ -459,6 +459,38 @@ def test_kernel_folds_exactly():
     assert np.allclose(got, np.clip(values @ beta, -2, 2), atol=1e-4)
 
 
+def test_kernel_counts_subsequences():
+    """The kernel against an enumeration of all gapped subsequences of three bytes."""
+
+    def features(s):
+        out = collections.Counter()
+        for k in range(2, tx.REACH + 1):
+            for j in range(1, k):
+                for i in range(len(s) - k):
+                    out[s[i], s[i + j], s[i + k]] += tx.DECAY ** (k - 2)
+        return out
+
+    norm = lambda s: math.sqrt(max(1.0, sum((len(s) - k) * tx.DECAY ** (2 * (k - 2)) for k in range(2, tx.REACH + 1) for _ in range(1, k) if len(s) > k)))
+    rng = random.Random(13)
+    words = [bytes(rng.choice(b"abcde") for _ in range(rng.randrange(3, 12))) for _ in range(30)]
+    got = tx.Kernel(words)(words)
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            x, y = features(a), features(b)
+            assert abs(got[i, j] - sum(n * y[f] for f, n in x.items()) / norm(a) / norm(b)) < 1e-3
+
+
+def test_toxicity_edges(spark):
+    rng = random.Random(14)
+    texts = [prose(rng, 40) + (" grubbish grubber" if i % 2 else "") for i in range(80)]
+    data = frame(spark, texts).withColumn("doc_id", F.concat(F.lit("k"), F.col("doc_id").cast("string")))
+    data = data.unionByName(data.limit(3)).unionByName(data.limit(1).withColumn("doc_id", F.lit(None).cast("string")))
+    labels = spark.createDataFrame([(f"k{i}", i % 2) for i in range(80)], "doc_id string, toxic int")
+    got = tx.toxicity(spark, data, labels).collect()
+    assert len(got) == 84 and sum(r.doc_id is None and not r.held_out for r in got) == 1
+    assert all(r.predicted == int(r.doc_id[1:]) % 2 for r in got if r.doc_id)
+
+
 def test_toxicity(spark):
     rng = random.Random(11)
     stems = ["grub", "snark", "blorp"]

@@ -6,7 +6,7 @@ an inserted or dropped character costs some weight and not the match.  The kerne
 divided by what a string of that length would have with itself.
 
 Training, on the driver and on a bounded sample of labelled documents (at most
-``most_labelled``, those with the smallest hash of their id):
+``most_labelled``, by a hash of their id), of which executors send the distinct words:
 
 1. Strings are words.  A word of a toxic document is a candidate if it or one of its
    4-byte parts is in several toxic documents and in no other; words of documents that
@@ -17,21 +17,24 @@ Training, on the driver and on a bounded sample of labelled documents (at most
    word give their best one (multiple-instance learning), and it is trained anew.
 3. As the kernel is explicit in subsequences, the SVM over landmarks folds exactly into
    one weight for each hashed subsequence.
-4. A document's word scores (largest, second, count above the margin) are calibrated to
-   a probability on labelled documents that were held out of steps 1 and 2.
+4. A document's word scores (largest, second, count above the margin) are computed on
+   the executors and calibrated to a probability on a third of the labelled documents,
+   which is held out of steps 1 and 2.
 
 Scoring is map-only over whole texts, vectorised over all words of a batch.  Labels,
 language, source and id are no inputs of a score.
 
 Nulls, empties, repeats: null and empty texts score as documents without any marked
 word; label rows that are null or other than 0 and 1 are left out, repeated ones count
-as often.  Without labels of both classes every score is 0.  A row without id is
-scored and counts as not held out.  Empty tables give empty results.
+as often, and documents that repeat an id are all labelled by it.  Texts of any length
+are scored whole.  Without labels of both classes every score is 0.  A row without id is
+scored and counts as not held out; ids may be of any type.  Equal counts are taken in
+the order of the words.  Empty tables give empty results; further columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import wordhash as W
-from tidemark.llm.quality import fit_logistic
+from tidemark.llm.quality import drawn, fit_logistic
 
 DECAY, REACH, BITS = 0.7, 5, 18
 _OFFSETS = [(j, k) for k in range(2, REACH + 1) for j in range(1, k)]
@@ -108,8 +111,10 @@ class Kernel:
             norms = _norms(int(size.max()))[size]
             for weight, at, h in subsequences(raw, word):
                 slot = self.slot[h]
-                hit = slot >= 0
-                np.add.at(out[lo : lo + 4000], word[at[hit]], weight * self.table[slot[hit]])
+                own, slot = word[at[slot >= 0]], slot[slot >= 0]
+                if len(own):  # places ascend, so a word's are together
+                    new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                    out[lo + own[new]] += weight * np.add.reduceat(self.table[slot], new, axis=0)
             out[lo : lo + 4000] /= norms[:, None]
         return out
 
@@ -203,73 +208,122 @@ def _parts(word: bytes) -> set[bytes]:
     return {word[i : i + 4] for i in range(len(word) - 3)} | {b"=" + word}
 
 
-def train(texts: list[str], labels: np.ndarray, landmarks: int = 128, least: int = 4) -> Model | None:
-    """Fit words on two thirds of the documents, calibrate on the rest."""
-    if not 0 < labels.sum() < len(labels):
+def train(vocabulary: list[bytes], doc: np.ndarray, word: np.ndarray, y: np.ndarray, landmarks: int = 128, least: int = 4) -> tuple[np.ndarray, float] | None:
+    """Weights of subsequences and a bias from which words (ascending, without repeats) which document has.
+
+    ``doc`` and ``word`` are pairs of numbers, ``y`` the documents' labels.
+    """
+    if not 0 < y.sum() < len(y):
         return None
-    # Every third document of either class is for calibration.
-    held = np.zeros(len(labels), bool)
-    for value in (0, 1):
-        held[np.flatnonzero(labels == value)[2::3]] = True
-    docs = [_words(t) for t in texts]
-    bad, good, part_bad, part_good = Counter(), Counter(), Counter(), Counter()
-    for words, y, h in zip(docs, labels, held, strict=True):
-        if not h:
-            (bad if y else good).update(words)
-            (part_bad if y else part_good).update({p for w in words for p in _parts(w)})
-    toxic_docs = [sorted(w) for w, y, h in zip(docs, labels, held, strict=True) if y and not h]
-    del docs
-    marked = lambda w: any(part_bad[p] >= least and not part_good[p] for p in _parts(w))
-    candidates = sorted((w for w in bad if not good[w] and marked(w)), key=lambda w: (-bad[w], w))
-    if not candidates:
-        candidates = sorted((w for w in bad if not good[w]), key=lambda w: (-bad[w], w))[:landmarks]
-    negatives = sorted(good, key=lambda w: (-good[w], w))
-    if not candidates or not negatives:
+    toxic = y[doc] == 1
+    bad, good = (np.bincount(word[m], minlength=len(vocabulary)) for m in (toxic, ~toxic))
+    # In how many toxic documents a part is, and whether in another.
+    parts = [sorted(_parts(w)) for w in vocabulary]
+    number = {p: i for i, p in enumerate(dict.fromkeys(p for own in parts for p in own))}
+    size = np.array([len(p) for p in parts])
+    flat, start = np.array([number[p] for own in parts for p in own]), np.cumsum(size) - size
+    of = lambda words: flat[np.repeat(start[words] - (np.cumsum(size[words]) - size[words]), size[words]) + np.arange(int(size[words].sum()))]
+    pairs = np.unique(np.repeat(doc[toxic], size[word[toxic]]) * len(number) + of(word[toxic]))
+    part_bad = np.bincount(pairs % len(number), minlength=len(number))
+    part_bad[of(np.flatnonzero(good > 0))] = 0
+    marked = np.add.reduceat(part_bad[flat] >= least, start) > 0
+    del pairs, part_bad, flat, parts, number
+    often = lambda words, n: words[np.lexsort((words, -n[words]))]
+    candidates = often(np.flatnonzero((bad > 0) & (good == 0) & marked), bad)
+    if not len(candidates):
+        candidates = often(np.flatnonzero((bad > 0) & (good == 0)), bad)[:landmarks]
+    negatives = often(np.flatnonzero(good > 0), good)
+    if not len(candidates) or not len(negatives):
         return None
-    positive, hard = set(candidates[:4000]), []
+    text = lambda words: [vocabulary[i] for i in words]
+    positive, hard = set(candidates[:4000].tolist()), negatives[:0]
+    words_of = np.split(word[toxic][np.argsort(doc[toxic], kind="stable")], np.cumsum(np.unique(doc[toxic], return_counts=True)[1])[:-1])
+    seen = np.flatnonzero(bad > 0)
     for _ in range(3):
-        ordered = sorted(positive, key=lambda w: (-bad[w], w))
-        kernel = Kernel([*ordered[:landmarks], *negatives[: landmarks // 2], *hard[: landmarks // 2]])
-        sample = [*ordered, *dict.fromkeys([*hard, *negatives[:12000]])]
-        y = np.arange(len(sample)) < len(ordered)
-        k = kernel(sample)
-        inner = kernel([*ordered[:landmarks], *negatives[: landmarks // 2], *hard[: landmarks // 2]])
+        ordered = often(np.array(sorted(positive)), bad)
+        marks = text(np.r_[ordered[:landmarks], negatives[: landmarks // 2], hard[: landmarks // 2]])
+        kernel = Kernel(marks)
+        rest = np.array(list(dict.fromkeys([*hard.tolist(), *negatives[:12000].tolist()])))
+        side = np.arange(len(ordered) + len(rest)) < len(ordered)
+        k, inner = kernel(text(np.r_[ordered, rest])), kernel(marks)
         value, vector = np.linalg.eigh((inner + inner.T).astype(np.float64) / 2 + 1e-4 * np.eye(kernel.n))
         root = vector / np.sqrt(np.maximum(value, 1e-4))  # Nystroem: K_xl K_ll^(-1/2)
-        weight = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())
-        w = _svm(k @ root, y, weight)
+        w = _svm(k @ root, side, np.where(side, 0.5 / side.sum(), 0.5 / (~side).sum()))
         beta, bias = root @ w[:-1], float(w[-1])
-        score = lambda words: kernel.against(words, beta) + bias  # noqa: B023, E731
-        s = score(negatives[:40000])
-        hard = [negatives[i] for i in np.argsort(-s, kind="stable")[:2000]]
-        alone = [d for d in toxic_docs if d and not positive.intersection(d)]
-        for d in alone:
-            s = score(d)
-            best = int(np.argmax(s))
-            if s[best] > 0 and not good[d[best]]:
-                positive.add(d[best])
-    weights = kernel.fold(beta)
-    joined = _lowered(pa.array([t or "" for t in texts]))
-    features = np.vstack([document_features(raw, off, weights, bias) for _, _, raw, off in W.text_chunks(joined)])
-    y = labels[held].astype(np.float64)
-    calibration = fit_logistic(features[held], y, np.ones(len(y)), 1e-4, 2000)
-    return Model(weights, bias, calibration)
+        s = kernel.against(text(negatives[:40000]), beta) + bias
+        hard = negatives[np.argsort(-s, kind="stable")[:2000]]
+        # A toxic document without a positive word gives its best one, if no other document has it.
+        s = np.full(len(vocabulary), -np.inf)
+        s[seen] = kernel.against(text(seen), beta) + bias
+        for own in words_of:
+            best = int(own[np.argmax(s[own])])
+            if positive.isdisjoint(own.tolist()) and s[best] > 0 and not good[best]:
+                positive.add(best)
+    return kernel.fold(beta), bias
 
 
 def _bucket(column: str, modulus: int):
     return F.crc32(F.encode(F.col(column).cast("string"), "UTF-8")) % modulus
 
 
+def _labelled_words(rows: DataFrame) -> pa.Table:
+    """doc (a number), y, held, words (ascending, distinct) of (y, held, text) rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.slices(batches, 200):
+            words = pa.array([sorted(_words(t or "")) for t in batch.column(2).to_pylist()], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words], names=["y", "held", "words"])
+
+    return rows.select("y", "held", "text").mapInArrow(W.lean(run), "y int, held boolean, words array<binary>").toArrow()
+
+
+def _labelled_features(rows: DataFrame, weights: np.ndarray, bias: float) -> pa.Table:
+    """y, held and the features of (y, held, text) rows."""
+    shared = rows.sparkSession.sparkContext.broadcast((weights, bias))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, raw, offsets in W.text_chunks(_lowered(batch.column(2))):
+                x = document_features(raw, offsets, *shared.value)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], *(pa.array(c) for c in x.T)], names=["y", "held", "a", "b", "c"])
+
+    return rows.select("y", "held", "text").mapInArrow(W.lean(run), "y int, held boolean, a double, b double, c double").toArrow()
+
+
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_labelled: int, folds: int, id_col: str) -> Model | None:
-    """A model of labelled rows outside fold 0."""
+    """A model of labelled rows outside fold 0: words from two thirds of them, calibration from the rest."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("y"))
-    known = known.where(_bucket("id", folds) != 0).orderBy(F.xxhash64("id"), "id", "y").limit(most_labelled)
-    texts = docs.select(F.col(id_col).alias("id"), F.col("text"))
-    rows = texts.join(F.broadcast(spark.createDataFrame(known.collect(), "id long, y int")), "id").orderBy(F.xxhash64("id"), "id", "y", "text").collect()
-    return train([r.text or "" for r in rows], np.array([r.y for r in rows], int)) if rows else None
+    known = known.where(_bucket("id", folds) != 0)
+    held = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) == 2
+    chosen = drawn(known, most_labelled, known.count(), 0, "y").withColumn("held", held).collect()
+    kind = known.schema["id"].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), "text").join(F.broadcast(spark.createDataFrame(chosen, f"id {kind}, y int, held boolean")), "id")
+    got = _labelled_words(rows)
+    y, out = got["y"].to_numpy(), np.array(got["held"].to_pylist(), bool)
+    if not out.any() or not 0 < y[~out].sum() < (~out).sum():  # too few to hold any out
+        out = np.zeros(len(y), bool)
+    lists = got["words"].combine_chunks()
+    sizes = np.array(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+    coded = lists.flatten().dictionary_encode()
+    entries = coded.dictionary.to_pylist()
+    by = sorted(range(len(entries)), key=entries.__getitem__)
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    doc, word = np.repeat(np.arange(len(y)), sizes), rank[coded.indices.to_numpy()]
+    mine = ~out[doc]
+    numbers, doc = np.unique(doc[mine], return_inverse=True)
+    used, word = np.unique(word[mine], return_inverse=True)
+    fitted = train([entries[by[i]] for i in used.tolist()], doc, word, y[numbers]) if len(doc) else None
+    if fitted is None:
+        return None
+    table = _labelled_features(rows, *fitted)
+    x, y, out = np.column_stack([table[c].to_numpy() for c in "abc"]), table["y"].to_numpy(), np.array(table["held"].to_pylist(), bool)
+    out = out if 0 < y[out].sum() < out.sum() else np.ones(len(y), bool)
+    order = np.lexsort((*x[out].T, y[out]))  # the sums of a fit depend on the order
+    return Model(*fitted, fit_logistic(x[out][order], y[out][order].astype(np.float64), np.ones(int(out.sum())), 1e-4, 2000))
 
 
-def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, folds: int = 5, id_col: str = "doc_id") -> DataFrame:
+def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_labelled: int = 6000, folds: int = 5, id_col: str = "doc_id") -> DataFrame:
     """doc_id, held_out, score, predicted, word_score (the most toxic word's)."""
     shared = spark.sparkContext.broadcast(fit(spark, docs, labels, most_labelled, folds, id_col))
 

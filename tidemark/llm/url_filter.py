@@ -7,12 +7,15 @@ one expression; a long list is joined on the suffixes of the distinct hosts.
 Urls without a rule go to trees that are boosted on lexical features: length, path
 depth, digit ratio, entropy of the host, parameter count, hyphens and statistics of
 the host's suffixes (smoothed block rates among the labelled urls).  They are trained
-on labelled urls, at most ``most_labelled`` of them, those with the smallest hash.
+on labelled urls, at most ``most_labelled`` of them, by a hash of the url; a threshold on
+it thins the rows on the executors.
 
 Nulls, empties, repeats: a null url, or one without ``://``, has empty host and path,
 fits no rule and is judged by the trees on empty features.  Every row gives a row.
-Without labelled urls of both kinds the trees allow everything.  Empty tables give
-empty results; columns other than id and url are not read.
+Rows that repeat a url or an id are judged each, alike.  Urls of any length are read
+whole.  Without labelled urls of both kinds the trees allow everything.  Of rules of the
+same text the one given last wins.  Empty tables give empty results; columns other than
+id and url are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.quality import drawn
+
 #: Words that mark a host of a labelled url as one to block.
 BLOCKED_WORDS = ("adult", "ads", "bets", "casino", "farm", "pills", "poker", "porn", "spam", "track", "viagra", "xxx")
 FEW_RULES = 200
@@ -58,6 +63,7 @@ class Rule:
 
 def apply_rules(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     """``rows`` (with host, path) plus rule and rule_verdict, null where none fits."""
+    rules = list({r.text: r for r in rules}.values())
     if len(rules) <= FEW_RULES:
         rule = verdict = F.lit(None).cast("string")
         for r in sorted(rules, key=lambda r: (len(r.text), r.text)):  # the longest is tested first
@@ -204,8 +210,9 @@ def labelled_by_words(pages: DataFrame, words: tuple[str, ...] = BLOCKED_WORDS,
 
 
 def fit_urls(labelled: DataFrame, most_labelled: int) -> Boosted | None:
-    rows = labelled.where("url is not null and blocked is not null").orderBy(F.xxhash64("url"), "url", "blocked").limit(most_labelled).collect()
-    return boost([r.url for r in rows], np.array([r.blocked for r in rows], bool)) if rows else None
+    known = labelled.where("url is not null and blocked is not null").select(F.col("url").alias("id"), "blocked")
+    rows = drawn(known, most_labelled, known.count(), 0, "blocked").collect()
+    return boost([r.id for r in rows], np.array([r.blocked for r in rows], bool)) if rows else None
 
 
 def judge_urls(spark: SparkSession, pages: DataFrame, rules: list[Rule], labelled: DataFrame, most_labelled: int = 10_000, block_from: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -1,5 +1,9 @@
 """Hand-made cases: null, blank and tie semantics of each operator."""
 
+import datetime
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,7 +106,15 @@ def test_scalars(spark):
     assert one(spark, S.json_list(F.lit("{}")).alias("a"), S.json_list(F.lit('["x"]')).alias("b")) == ([], ["x"])
     assert one(spark, S.first_not_blank(F.lit("　\t"), F.lit(" n ")).alias("x")).x == " n "
     assert one(spark, S.signed(F.lit(0)).alias("x")).x == "+0"
-    assert [S.days_argument(x) for x in ("3天", "7", "8", "x", None, "0", "²")] == [3, 7, 1, 1, 1, 1, 1]
+    assert [S.days_argument(x) for x in ("3天", "7", " 2 日", "x", None, "", "²")] == [3, 7, 2, 1, 1, 1, 1]
+    for wrong in ("8", "0", "30天"):
+        with pytest.raises(ValueError):
+            S.days_argument(wrong)
+    today = datetime.date(2024, 5, 6)
+    assert [S.date_argument(x, today) for x in (None, "  ", " 2024-01-03 ")] == [today, today, datetime.date(2024, 1, 3)]
+    for wrong in ("2024/1/3", "2024-02-30", "x"):
+        with pytest.raises(ValueError):
+            S.date_argument(wrong, today)
     assert one(spark, S.shifted_text(F.lit("2024-01-01 20:00:00.9")).alias("a"), S.shifted_text(F.lit("junk")).alias("b")) == ("2024-01-02 04:00:00", None)
     assert one(spark, S.popularity(F.lit("12")).alias("a"), S.popularity(F.lit("1x")).alias("b")) == (12, None)
 
@@ -152,8 +164,59 @@ def test_folds(spark, rows):
     subs = spark.createDataFrame([(1, 1, "dev", None, 1), (1, 2, "set", 5, None), (1, 3, "dev", None, 1), (1, 4, "set", 6, None), (2, 5, "set", 7, None), (2, 6, "remove", None, None), (3, 7, "dev", None, 1)], "group_id bigint, seq bigint, op string, room_id bigint, dev int")
     assert rows(merge.subscription_state(subs)) == [(1, 6, 1)]
     members = spark.createDataFrame([(1, 1), (2, 1), (2, 2)], "group_id bigint, manager_qq bigint")
-    asked = spark.createDataFrame([(1, 1), (1, 9), (2, 1)], "group_id bigint, manager_qq bigint")
-    assert rows(merge.guarded_removal(members, asked)) == [(1, 1, False), (1, 9, True), (2, 1, True)]
+    asked = spark.createDataFrame([(1, 1, 1), (2, 1, 9), (3, 2, 1), (4, 2, 2), (5, 2, 1), (6, 2, 2)], "seq bigint, group_id bigint, manager_qq bigint")
+    assert rows(merge.guarded_removal(members, asked), "seq", "outcome") == [(1, "refused"), (2, "absent"), (3, "removed"), (4, "refused"), (5, "absent"), (6, "refused")]
+
+
+def test_guarded_removal_against_a_loop(spark, rows):
+    rng = random.Random(6)
+    members = {(rng.randrange(6), rng.randrange(8)) for _ in range(20)}
+    asked = [(k, rng.randrange(7), rng.randrange(8)) for k in range(150)]
+    left, want = set(members), []
+    for k, g, m in asked:
+        here = (g, m) in left
+        last = here and sum(x == g for x, _ in left) <= 1
+        want.append((k, "refused" if last else "removed" if here else "absent"))
+        if here and not last:
+            left.discard((g, m))
+    got = merge.guarded_removal(spark.createDataFrame(list(members) * 2, "group_id bigint, manager_qq bigint"), spark.createDataFrame(asked, "seq bigint, group_id bigint, manager_qq bigint"))
+    assert rows(got, "seq", "outcome") == sorted(want, key=repr)
+
+
+def test_numbered(spark, rows):
+    keys = random.Random(7).sample(range(10**9), 300)
+    got = idn.numbered(spark.createDataFrame([(k,) for k in keys], "uid bigint"), "uid", parts=7)
+    assert rows(got, "n", "uid") == sorted(((n, k) for n, k in enumerate(sorted(keys), 1)), key=repr)
+    assert idn.numbered(spark.createDataFrame([], "uid bigint"), "uid").count() == 0
+
+
+def test_spline_against_a_dense_solve():
+    rng = np.random.default_rng(3)
+    for n in (4, 5, 9, 40):
+        x, y = np.cumsum(rng.uniform(0.5, 3, n)), rng.normal(size=n)
+        # One cubic a piece; values meet, first and second derivatives agree, thirds at the outer inner knots too.
+        rows, right = [], []
+        power = lambda d, k: [np.prod(range(p - k + 1, p + 1)) * d ** (p - k) if p >= k else 0.0 for p in range(4)]
+        for i in range(n - 1):
+            for at, value in ((0.0, y[i]), (x[i + 1] - x[i], y[i + 1])):
+                rows.append([0.0] * 4 * i + power(at, 0) + [0.0] * 4 * (n - 2 - i))
+                right.append(value)
+        for i in range(n - 2):
+            for k in (1, 2, *([3] if i in (0, n - 3) else [])):
+                row = [0.0] * 4 * (n - 1)
+                row[4 * i : 4 * i + 4], row[4 * i + 4 : 4 * i + 8] = power(x[i + 1] - x[i], k), [-v for v in power(0.0, k)]
+                rows.append(row)
+                right.append(0.0)
+        c = np.linalg.lstsq(np.array(rows, float), np.array(right), rcond=None)[0].reshape(-1, 4)
+        at = np.linspace(x[0], x[-1], 50)
+        i = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
+        want = sum(c[i, p] * (at - x[i]) ** p for p in range(4))
+        assert np.allclose(U.not_a_knot(x, y, at), want, atol=1e-7)
+
+
+def test_keep_newest_repeats(spark, rows):
+    files = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "name string")
+    assert rows(sets.keep_newest(files, "name", 2), "name", "delete") == [("a", True), ("b", False), ("b", False), ("c", False)]
 
 
 def test_fold_against_a_loop(spark, rows):

@@ -6,6 +6,8 @@ white space by Unicode rules.  Each function says what it makes of null.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,10 +49,19 @@ def digits_or_null(text: Column | str) -> Column:
 
 
 def days_argument(text: str | None, least: int = 1, most: int = 7) -> int:
-    """A number of days, with an optional unit; anything else, or out of range, is the least."""
+    """A number of days, with an optional unit; without a number it is one day, and out of range an error."""
     digits = (text or "").strip().rstrip("天日").strip()
-    days = int(digits) if digits.isascii() and digits.isdigit() else least
-    return days if least <= days <= most else least
+    if not (digits.isascii() and digits.isdigit()):
+        return 1
+    if not least <= int(digits) <= most:
+        raise ValueError(f"days must be {least} to {most}: {digits}")
+    return int(digits)
+
+
+def date_argument(text: str | None, today: datetime.date) -> datetime.date:
+    """A date as year-month-day; a blank is ``today``, anything else an error."""
+    given = (text or "").strip()
+    return datetime.datetime.strptime(given, "%Y-%m-%d").date() if given else today
 
 
 # Text
@@ -82,9 +93,13 @@ def match_form(text: Column | str) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(_col(text), F.lit(""))), r"(?U)[\s\-_/\\.,，。·]+", "")
 
 
+#: Fixed value: what is laid out as one.
+DISPLAY_TOKEN = r"[a-zA-Z0-9]+|\s+|[^\x00-\xff]|."
+
+
 def display_tokens(text: Column | str) -> Column:
     """Words, runs of blanks, wide characters and other single characters."""
-    return F.regexp_extract_all(_col(text), F.lit(r"([a-zA-Z0-9]+|\s+|[^\x00-\xff]|.)"), F.lit(1))
+    return F.regexp_extract_all(_col(text), F.lit(f"({DISPLAY_TOKEN})"), F.lit(1))
 
 
 def signed(number: Column | str) -> Column:
@@ -328,11 +343,10 @@ def clean_line(line: Column | str) -> Column:
 
 
 def log_time(text: Column | str) -> Column:
-    """Either time form as MM-dd HH:mm:ss; others pass through."""
-    t = _col(text)
-    full = F.date_format(F.try_to_timestamp(t, F.lit("yyyy-MM-dd HH:mm:ss")), "MM-dd HH:mm:ss")
-    short = F.try_to_timestamp(F.concat(F.lit("1900-"), t), F.lit("yyyy-MM-dd HH:mm:ss"))
-    return F.when((F.length(t) > 15) & (F.substring(t, 5, 1) == "-"), F.coalesce(full, t)).otherwise(F.coalesce(F.date_format(short, "MM-dd HH:mm:ss"), t))
+    """Either time form, with a year or without, as MM-dd HH:mm:ss; others pass through."""
+    t, form = _col(text), F.lit("yyyy-MM-dd HH:mm:ss")
+    tries = (F.try_to_timestamp(t, form), F.try_to_timestamp(F.concat(F.lit("1900-"), t), form))
+    return F.coalesce(*[F.date_format(x, "MM-dd HH:mm:ss") for x in tries], t)
 
 
 def log_header(line: Column | str) -> Column:

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from difflib import SequenceMatcher
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import scalars as S
+
 
 @lru_cache(maxsize=65536)
 def char_width(c: str) -> int:
@@ -36,20 +40,30 @@ def truncated(text: str, most: int) -> str:
     return text[:end] + "..."
 
 
+_TOKEN = re.compile(S.DISPLAY_TOKEN)
+
+
 def wrapped(text: str, most: int) -> str:
-    """Greedy lines of at most ``most`` columns; words stay whole, a longer one stands alone, no line begins with a blank."""
+    """Greedy lines of at most ``most`` columns; words stay whole, a longer one stands alone, no line begins with a blank.
+
+    A line ends where the running width of all tokens passes the line's start by more
+    than ``most``.
+    """
+    tokens = _TOKEN.findall(text)
+    ends = list(accumulate(map(text_width, tokens), initial=0))
     lines: list[str] = []
-    line, width = "", 0
-    for token in re.findall(r"[a-zA-Z0-9]+|\s+|[^\x00-\xff]|.", text):
-        size = text_width(token)
-        if width + size <= most:
-            line, width = line + token, width + size
-        elif line:
-            lines.append(line.rstrip())
-            line, width = ("", 0) if token.isspace() else (token, size)
-        else:
-            lines.append(token)
-    return "\n".join([*lines, line.rstrip()] if line else lines)
+    at, carried = 0, False  # whether a token that didn't fit begins the line
+    while at < len(tokens):
+        stop = bisect_right(ends, ends[at] + most) - 1
+        if stop == at and not carried:
+            lines.append(tokens[at])
+            at += 1
+            continue
+        stop = max(stop, at + 1)
+        lines.append("".join(tokens[at:stop]).rstrip())
+        carried = stop < len(tokens) and not tokens[stop].isspace()
+        at = stop if carried else stop + 1
+    return "\n".join(lines)
 
 
 def _each(function):
@@ -106,16 +120,28 @@ def emoji_tokens(text: Column | str, names: Column | str) -> Column:
 
 
 def not_a_knot(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Cubic spline whose third derivative is continuous at the second and last but one knots (n > 3)."""
+    """Cubic spline whose third derivative is continuous at the second and last but one knots (n > 3).
+
+    The end conditions give the outer second derivatives from the inner ones, so the
+    system is tridiagonal and solved in linear time.
+    """
     n, h = len(x), np.diff(x)
     slope = np.diff(y) / h
-    a, b = np.zeros((n, n)), np.zeros(n)
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        b[i] = 6 * (slope[i] - slope[i - 1])
-    a[0, :3] = h[1], -(h[0] + h[1]), h[0]
-    a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-    m = np.linalg.solve(a, b)
+    low, mid, up, want = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy(), 6 * np.diff(slope)
+    a, b = h[0] / h[1], h[-1] / h[-2]
+    mid[0] += h[0] * (1 + a)
+    up[0] -= h[0] * a
+    mid[-1] += h[-1] * (1 + b)
+    low[-1] -= h[-1] * b
+    for k in range(1, n - 2):
+        share = low[k] / mid[k - 1]
+        mid[k] -= share * up[k - 1]
+        want[k] -= share * want[k - 1]
+    m = np.zeros(n)
+    m[n - 2] = want[-1] / mid[-1]
+    for k in range(n - 4, -1, -1):
+        m[k + 1] = (want[k] - up[k] * m[k + 2]) / mid[k]
+    m[0], m[-1] = m[1] + a * (m[1] - m[2]), m[-2] + b * (m[-2] - m[-3])
     i = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
     d = at - x[i]
     return y[i] + d * (slope[i] - h[i] * (2 * m[i] + m[i + 1]) / 6) + d**2 * m[i] / 2 + d**3 * (m[i + 1] - m[i]) / (6 * h[i])
@@ -136,9 +162,8 @@ def resample(series: DataFrame, key: str, t: str, v: str, points: int = 300, tic
         at, out = x, y
         if len(x) > 3:
             at = np.linspace(x[0], x[-1], points)
-            try:
-                out = not_a_knot(x - x[0], y, at - x[0])
-            except np.linalg.LinAlgError:
+            out = not_a_knot(x - x[0], y, at - x[0])
+            if not np.isfinite(out).all():
                 at, out = x, y
         marks = np.unique(np.linspace(0, len(at) - 1, ticks).round().astype(int))
         return pd.DataFrame({key: pdf[key].iloc[0], t: at, v: out, "tick": np.isin(np.arange(len(at)), marks)})

@@ -29,8 +29,8 @@ def with_repeats(events: DataFrame) -> DataFrame:
     return lagged.withColumn("repeated", streaming | same_title).drop("kind", "p_id", "p_cmd", "p_title")
 
 
-def announcements(events: DataFrame, names: DataFrame, subscriptions: DataFrame, mode: str = "lossless") -> DataFrame:
-    """group_id, event id, room and message of what each group is told.
+def messages(events: DataFrame, names: DataFrame, mode: str = "lossless") -> DataFrame:
+    """id, room and message of what the groups of a room are told.
 
     ``lossless`` tells every event that repeats nothing, once; ``poll`` tells only the
     newest control event, as a poller that finds several would.
@@ -42,8 +42,23 @@ def announcements(events: DataFrame, names: DataFrame, subscriptions: DataFrame,
         told = told.orderBy(F.desc_nulls_last("timestamp"), F.desc("id")).limit(1)
     told = told.where(~F.col("repeated"))
     named = told.join(names.select("room_id", S.first_not_blank("nickname", "uname").alias("name")), "room_id", "left")
-    message = named.withColumn("message", S.announcement("cmd", "name", "title", "room_id")).where("message is not null")
-    return message.join(subscriptions.select("room_id", "group_id"), "room_id").select("group_id", "id", "room_id", "message")
+    return named.select("id", "room_id", S.announcement("cmd", "name", "title", "room_id").alias("message")).where("message is not null")
+
+
+def announcements(events: DataFrame, names: DataFrame, subscriptions: DataFrame, mode: str = "lossless") -> DataFrame:
+    """group_id, event id, room and message: ``messages`` for each group of the room."""
+    told = messages(events, names, mode)
+    return told.join(subscriptions.select("room_id", "group_id"), "room_id").select("group_id", "id", "room_id", "message")
+
+
+def announced(told: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """group_id, n, least, last_id: how much each group is told, without a row for each message and group.
+
+    Messages are counted by room first, so the join has a row a room on one side.
+    """
+    rooms = told.groupBy("room_id").agg(F.count(F.lit(1)).alias("n"), F.min("message").alias("least"), F.max("id").alias("last_id"))
+    joined = subscriptions.select("room_id", "group_id").join(rooms, "room_id")
+    return joined.groupBy("group_id").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("last_id").alias("last_id"))
 
 
 def day_messages(events: DataFrame, room_id: int | None, day: str, zone: str = S.ZONE, cmd: str = "SUPER_CHAT_MESSAGE") -> DataFrame:

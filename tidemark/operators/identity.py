@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
@@ -61,8 +61,22 @@ def by_uid(livers: DataFrame) -> DataFrame:
 
 def with_current(history: DataFrame, names: DataFrame) -> DataFrame:
     """History rows numbered by uid, with the current name or else the last one seen."""
-    from pyspark.sql import Window
-
     joined = history.join(names.select("uid", "name"), "uid", "left")
     current = F.coalesce("name", F.element_at("names", -1))
-    return joined.select(F.row_number().over(Window.orderBy("uid")).cast("bigint").alias("n"), "uid", current.alias("current"), "names")
+    return numbered(joined.select("uid", current.alias("current"), "names"), "uid").select("n", "uid", "current", "names")
+
+
+def numbered(rows: DataFrame, key: str, parts: int = 200) -> DataFrame:
+    """``rows`` plus ``n``, their number from 1 in the order of a number that no two share.
+
+    The keys' percentiles cut them in parts that are numbered apart, each after what the
+    parts before it hold; so no task sees more than about a share of ``parts``.
+    """
+    shares = [k / parts for k in range(1, parts)]
+    bounds = sorted(set(rows.agg(F.percentile_approx(key, shares, 10_000)).first()[0] or []))
+    part = F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b < F.col(key))) if bounds else F.lit(0)
+    dealt = rows.withColumn("_part", part)
+    before = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_own"))
+    before = before.withColumn("_before", F.sum("_own").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_own"))  # a row a part
+    n = F.row_number().over(Window.partitionBy("_part").orderBy(key)) + F.col("_before")
+    return dealt.join(F.broadcast(before), "_part").select(*rows.columns, n.cast("bigint").alias("n"))

@@ -87,12 +87,20 @@ def update_existing(table: DataFrame, changes: DataFrame, keys: list[str], colum
 
 
 def guarded_removal(members: DataFrame, asked: DataFrame) -> DataFrame:
-    """Of asked removals (group_id, manager_qq), ``allowed`` unless it is a group's only manager."""
-    counts = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
-    there = members.select("group_id", "manager_qq").distinct().withColumn("there", F.lit(True))
-    joined = asked.join(there, ["group_id", "manager_qq"], "left").join(counts, "group_id", "left")
-    only = F.coalesce("there", F.lit(False)) & (F.coalesce("n", F.lit(0)) <= 1)
-    return joined.select("group_id", "manager_qq", (~only).alias("allowed"))
+    """Asked removals (seq, group_id, manager_qq) with ``outcome``: removed, refused or absent, as each finds the group.
+
+    In the order of ``seq`` the k-th member of a group of n that is asked for the first
+    time goes if k < n; the last one stays, however often it is asked for; who isn't a
+    member, or is one no more, is absent.  So a fold needs each member's first request
+    and its rank only; a group's ranks are of members, however many requests there are.
+    """
+    counts = members.select("group_id", "manager_qq").distinct().groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    first = asked.groupBy("group_id", "manager_qq").agg(F.min("seq").alias("first")).join(members.select("group_id", "manager_qq").distinct(), ["group_id", "manager_qq"], "left_semi")
+    ranked = first.withColumn("k", F.row_number().over(Window.partitionBy("group_id").orderBy("first")))
+    known = ranked.join(counts, "group_id")
+    joined = asked.join(known, ["group_id", "manager_qq"], "left")
+    outcome = F.when(F.col("k").isNull(), "absent").when(F.col("k") >= F.col("n"), "refused").when(F.col("seq") == F.col("first"), "removed").otherwise("absent")
+    return joined.select("seq", "group_id", "manager_qq", outcome.alias("outcome"))
 
 
 def set_if_absent(state: DataFrame, key: str, value: DataFrame) -> DataFrame:

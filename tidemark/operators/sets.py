@@ -46,7 +46,9 @@ def keep_newest(files: DataFrame, name: str, keep: int) -> DataFrame:
     """``files`` plus ``delete``: all but the ``keep`` last by name; keeping 0 deletes nothing."""
     if keep <= 0:
         return files.withColumn("delete", F.lit(False))
-    return files.withColumn("delete", F.row_number().over(Window.orderBy(F.desc(name))) > keep)
+    newest = files.select(F.col(name).alias("_kept")).distinct().orderBy(F.desc("_kept")).limit(keep)  # a top-k, at most ``keep`` names
+    joined = files.join(F.broadcast(newest), F.col(name) == F.col("_kept"), "left")
+    return joined.select(*files.columns, F.col("_kept").isNull().alias("delete"))
 
 
 def edge_alerts(samples: DataFrame, key: str, order: str, bad: Column, good: Column, held_back: Column | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ Each has a twin in ``plans/oracle.py``, written independently in SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -102,9 +102,10 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file, pos, line: every conversation is a log file, user turns are header lines."""
-    c = table(spark, sf_dir, "conversations")
+    """file, pos, line: every conversation is a log file, user turns are header lines; whole texts, repeated turns too."""
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    c = table(spark, sf_dir, "conversations").withColumn("pos", F.row_number().over(order).cast("bigint"))
     stamp = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 3600 + F.col("turn") * 7), "yyyy-MM-dd HH:mm:ss")
-    body = F.regexp_replace(F.substring("text", 1, 40), r"[^A-Za-z ]", "")
-    head = F.concat(stamp, F.lit(",123 - svc"), (F.col("turn") % 3).cast("string"), F.lit(" - INFO - m"), body)
-    return c.groupBy("conv_id", "turn").agg(F.min("role").alias("role"), F.min("text").alias("text")).select(F.col("conv_id").alias("file"), F.col("turn").alias("pos"), F.when(F.col("role") == "user", head).otherwise(F.concat(F.lit("  at "), body)).alias("line"))
+    body = F.regexp_replace("text", r"[^A-Za-z ]", "")
+    head = F.concat(stamp, F.lit(",123 - svc"), (F.col("pos") % 3).cast("string"), F.lit(" - INFO - m"), body)
+    return c.select(F.col("conv_id").alias("file"), "pos", F.when(F.col("role") == "user", head).otherwise(F.concat(F.lit("  at "), body)).alias("line"))

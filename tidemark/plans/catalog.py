@@ -59,18 +59,14 @@ def room_change_dup(spark: SparkSession, d: str) -> DataFrame:
     return ev.with_repeats(ad.event(spark, d)).where("cmd = 'ROOM_CHANGE' and repeated").select("id", "room_id", "title")
 
 
-def _names(spark: SparkSession, d: str) -> DataFrame:
-    return ad.liver(spark, d).where("room_id < 8")
-
-
 @query
 def live_announcements(spark: SparkSession, d: str) -> DataFrame:
-    return ev.announcements(ad.event(spark, d), _names(spark, d), ad.subscription(spark, d)).groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.min("message").alias("least"), F.max("id").alias("last_id"))
+    return ev.announced(ev.messages(ad.event(spark, d), ad.liver(spark, d)), ad.subscription(spark, d))
 
 
 @query
 def live_announcements_poll(spark: SparkSession, d: str) -> DataFrame:
-    return ev.announcements(ad.event(spark, d), _names(spark, d), ad.subscription(spark, d), mode="poll")
+    return ev.announcements(ad.event(spark, d), ad.liver(spark, d), ad.subscription(spark, d), mode="poll")
 
 
 # Names
@@ -228,18 +224,15 @@ def manager_list(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def manager_guarded_removal(spark: SparkSession, d: str) -> DataFrame:
-    members = ad.manager(spark, d).where("group_id % 3 != 0 or manager_qq % 25 = 0")
-    members = members.unionByName(ad.subscription(spark, d).where("group_id between 1000 and 1099").select("group_id", F.lit(1).cast("bigint").alias("manager_qq")))
-    asked = members.where("manager_qq < 5").unionByName(spark.range(3).select(F.col("id").alias("group_id"), F.lit(-1).cast("bigint").alias("manager_qq")))
-    return merge.guarded_removal(members, asked)
+    asked = ad.table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 150).alias("group_id"), (F.col("o_orderkey") % 110).alias("manager_qq"))
+    return merge.guarded_removal(ad.manager(spark, d), asked)
 
 
 @query
 def manager_permitted(spark: SparkSession, d: str) -> DataFrame:
-    managers = ad.manager(spark, d).where("group_id % 2 = 0")
-    initial = spark.range(100).select(F.col("id").alias("group_id"), F.lit(3).cast("bigint").alias("manager_qq"))
-    requests = spark.range(400).select((F.col("id") % 100).alias("group_id"), F.floor(F.col("id") / 100).cast("bigint").alias("manager_qq"))
-    return sets.permitted(requests, managers, initial)
+    requests = ad.table(spark, d, "orders").select((F.col("o_orderkey") % 150).alias("group_id"), (F.col("o_custkey") % 40).alias("manager_qq")).distinct()
+    initial = requests.select("group_id").distinct().withColumn("manager_qq", F.lit(3).cast("bigint"))
+    return sets.permitted(requests, ad.manager(spark, d), initial)
 
 
 @query
@@ -281,18 +274,17 @@ def rooms_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dev_rooms(spark: SparkSession, d: str) -> DataFrame:
-    return sets.dev_rooms(ad.subscription(spark, d).where("group_id % 11 < 9"))
+    return sets.dev_rooms(ad.subscription(spark, d))
 
 
 @query
 def dev_events(spark: SparkSession, d: str) -> DataFrame:
-    subscriptions = ad.subscription(spark, d).where("group_id % 11 > 4")
-    return sets.count_by(sets.with_dev(ad.event(spark, d), subscriptions), "room_id", "cmd")
+    return sets.count_by(sets.with_dev(ad.event(spark, d), ad.subscription(spark, d)), "room_id", "cmd")
 
 
 @query
 def rooms_diff(spark: SparkSession, d: str) -> DataFrame:
-    return sets.reconcile(ad.event(spark, d), ad.subscription(spark, d).where("room_id > 2"))
+    return sets.reconcile(ad.event(spark, d), ad.subscription(spark, d))
 
 
 @query
@@ -422,7 +414,7 @@ def log_records(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def log_page(spark: SparkSession, d: str) -> DataFrame:
-    rows = logs.records(ad.log_lines(spark, d).where("file < 40"))
+    rows = logs.records(ad.log_lines(spark, d))
     return logs.page(rows, "n", 1, 2, by="file").select("file", "n", "message")
 
 

@@ -54,8 +54,8 @@ MESSAGE = """CASE cmd WHEN 'LIVE' THEN who || '开播了！' WHEN 'PREPARING' TH
   ELSE CASE WHEN trim(title) <> '' THEN who || '把直播标题修改为：' || trim(title) END END"""
 TOLD = f"""{CONTROL}, {LIVER}, {SUBSCRIPTION}"""
 ACTIVITY = """activity AS (SELECT page_id AS id, url AS activity_id, page_id % 8 AS room_id, page_id * 60 AS timestamp FROM pages)"""
-LOGS = """turns AS (SELECT conv_id AS file, turn AS pos, min(role) AS role, regexp_replace(substr(min(text), 1, 40), '[^A-Za-z ]', '', 'g') AS body FROM conversations GROUP BY 1, 2),
-lines AS (SELECT *, make_timestamp((1700000000 + file * 3600 + pos * 7) * 1000000) AS stamp, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY pos) AS n FROM turns),
+LOGS = """turns AS (SELECT conv_id AS file, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos, turn, role, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS body FROM conversations),
+lines AS (SELECT *, make_timestamp((1700000000 + file * 3600 + turn * 7) * 1000000) AS stamp, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY pos) AS n FROM turns),
 records AS (SELECT file, CAST(n AS BIGINT) AS n,
   min(CASE WHEN role = 'user' THEN strftime(stamp, '%m-%d %H:%M:%S') END) AS timestamp,
   min(CASE WHEN role = 'user' THEN 'svc' || pos % 3 END) AS logger, 'INFO' AS level,
@@ -83,11 +83,11 @@ SQL: dict[str, str] = {
     "live_newest": f"WITH {EVENT} SELECT id, room_id, cmd, title, timestamp FROM event WHERE cmd IN ('LIVE','PREPARING','ROOM_CHANGE') ORDER BY timestamp DESC NULLS LAST, id DESC LIMIT 1",
     "live_is_streaming": f"WITH {CONTROL} SELECT id, room_id FROM told WHERE cmd = 'LIVE' AND repeated",
     "room_change_dup": f"WITH {CONTROL} SELECT id, room_id, title FROM told WHERE cmd = 'ROOM_CHANGE' AND repeated",
-    "live_announcements": f"""WITH {TOLD}, m AS (SELECT t.*, coalesce(n.name, '房间' || t.room_id) AS who FROM told t LEFT JOIN names n ON n.room_id = t.room_id AND n.room_id < 8 WHERE NOT repeated),
+    "live_announcements": f"""WITH {TOLD}, m AS (SELECT t.*, coalesce(n.name, '房间' || t.room_id) AS who FROM told t LEFT JOIN names n ON n.room_id = t.room_id WHERE NOT repeated),
         x AS (SELECT *, {MESSAGE} AS message FROM m)
         SELECT s.group_id, count(*) AS n, min(message) AS least, max(id) AS last_id FROM x JOIN subscription s USING (room_id) WHERE message IS NOT NULL GROUP BY s.group_id""",
     "live_announcements_poll": f"""WITH {TOLD}, newest AS (SELECT * FROM told ORDER BY timestamp DESC NULLS LAST, id DESC LIMIT 1),
-        m AS (SELECT t.*, coalesce(n.name, '房间' || t.room_id) AS who FROM newest t LEFT JOIN names n ON n.room_id = t.room_id AND n.room_id < 8 WHERE NOT repeated),
+        m AS (SELECT t.*, coalesce(n.name, '房间' || t.room_id) AS who FROM newest t LEFT JOIN names n ON n.room_id = t.room_id WHERE NOT repeated),
         x AS (SELECT *, {MESSAGE} AS message FROM m)
         SELECT s.group_id, id, room_id, message FROM x JOIN subscription s USING (room_id) WHERE message IS NOT NULL""",
     "name_history_all": f"WITH {SEEN} SELECT uid, names FROM history",
@@ -119,12 +119,20 @@ SQL: dict[str, str] = {
         SELECT seq, CASE WHEN op = 'add' THEN before IS DISTINCT FROM 'add' ELSE before IS NOT DISTINCT FROM 'add' END AS hit FROM p""",
     "manager_count": f"WITH {MANAGER} SELECT group_id, count(*) AS n FROM manager GROUP BY group_id",
     "manager_list": f"WITH {MANAGER} SELECT * FROM manager WHERE group_id = 7",
-    "manager_guarded_removal": f"""WITH {MANAGER}, {SUBSCRIPTION}, m AS (SELECT * FROM manager WHERE group_id % 3 <> 0 OR manager_qq % 25 = 0
-          UNION ALL SELECT group_id, 1 FROM subscription WHERE group_id BETWEEN 1000 AND 1099),
-        asked AS (SELECT * FROM m WHERE manager_qq < 5 UNION ALL SELECT range, -1 FROM range(3))
-        SELECT a.group_id, a.manager_qq, NOT (EXISTS (SELECT 1 FROM m WHERE m.group_id = a.group_id AND m.manager_qq = a.manager_qq) AND (SELECT count(*) FROM m WHERE m.group_id = a.group_id) <= 1) AS allowed FROM asked a""",
-    "manager_permitted": f"""WITH {MANAGER}, k AS (SELECT * FROM manager WHERE group_id % 2 = 0), k2 AS (SELECT * FROM k UNION ALL SELECT range, 3 FROM range(100) WHERE range NOT IN (SELECT group_id FROM k)),
-        r AS (SELECT range % 100 AS group_id, range // 100 AS manager_qq FROM range(400)) SELECT * FROM r SEMI JOIN k2 USING (group_id, manager_qq)""",
+    # Request by request: what is left of a group is a list that each granted removal shortens.
+    "manager_guarded_removal": f"""WITH RECURSIVE {MANAGER}, asked AS (SELECT o_orderkey AS seq, o_custkey % 150 AS group_id, o_orderkey % 110 AS manager_qq FROM orders),
+        r AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY seq) AS k FROM asked),
+        members AS (SELECT group_id, list(manager_qq) AS left_over FROM manager GROUP BY group_id),
+        start AS (SELECT g.group_id, coalesce(m.left_over, []) AS left_over FROM (SELECT DISTINCT group_id FROM asked) g LEFT JOIN members m USING (group_id)),
+        step AS (SELECT group_id, CAST(0 AS BIGINT) AS k, left_over, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS manager_qq, CAST(NULL AS VARCHAR) AS outcome FROM start
+          UNION ALL SELECT s.group_id, r.k,
+            CASE WHEN list_contains(s.left_over, r.manager_qq) AND len(s.left_over) > 1 THEN list_filter(s.left_over, lambda x: x <> r.manager_qq) ELSE s.left_over END, r.seq, r.manager_qq,
+            CASE WHEN NOT list_contains(s.left_over, r.manager_qq) THEN 'absent' WHEN len(s.left_over) > 1 THEN 'removed' ELSE 'refused' END
+          FROM step s JOIN r ON r.group_id = s.group_id AND r.k = s.k + 1)
+        SELECT seq, group_id, manager_qq, outcome FROM step WHERE k > 0""",
+    "manager_permitted": f"""WITH {MANAGER}, asked AS (SELECT DISTINCT o_orderkey % 150 AS group_id, o_custkey % 40 AS manager_qq FROM orders),
+        known AS (SELECT * FROM manager UNION ALL SELECT DISTINCT group_id, 3 FROM asked WHERE group_id NOT IN (SELECT group_id FROM manager))
+        SELECT * FROM asked SEMI JOIN known USING (group_id, manager_qq)""",
     "state_init": f"""WITH {EVENT} SELECT CAST(room_id AS VARCHAR) AS key, arg_max(cmd, id) AS value FROM event GROUP BY room_id
         UNION ALL SELECT 'last_event_id', CAST(max(id) AS VARCHAR) FROM event""",
     "lyrics_update": f"WITH {SONGS}, {LIVER} SELECT s.id, CASE WHEN l.room_id IS NOT NULL THEN l.nickname ELSE s.lyrics END AS lyrics FROM songs s LEFT JOIN liver l ON l.room_id * 3 = s.id",
@@ -133,9 +141,9 @@ SQL: dict[str, str] = {
     "activity_inserted_ids": """WITH a AS (SELECT doc_id AS seq, CASE WHEN doc_id % 13 <> 0 THEN md5(text) END AS activity_id FROM documents)
         SELECT 1000 + min(seq) AS id, activity_id FROM a WHERE seq % 2 = 1 AND activity_id IS NOT NULL AND activity_id NOT IN (SELECT activity_id FROM a WHERE seq % 2 = 0 AND activity_id IS NOT NULL) GROUP BY activity_id""",
     "rooms_distinct": f"WITH {SUBSCRIPTION} SELECT DISTINCT room_id FROM subscription",
-    "dev_rooms": f"WITH {SUBSCRIPTION} SELECT DISTINCT room_id FROM subscription WHERE dev = 1 AND group_id % 11 < 9",
-    "dev_events": f"WITH {EVENT}, {SUBSCRIPTION} SELECT room_id, cmd, count(*) AS n FROM event WHERE room_id IN (SELECT room_id FROM subscription WHERE dev = 1 AND group_id % 11 > 4) GROUP BY room_id, cmd",
-    "rooms_diff": f"""WITH {EVENT}, {SUBSCRIPTION}, a AS (SELECT room_id FROM event), b AS (SELECT room_id FROM subscription WHERE room_id > 2)
+    "dev_rooms": f"WITH {SUBSCRIPTION} SELECT DISTINCT room_id FROM subscription WHERE dev = 1",
+    "dev_events": f"WITH {EVENT}, {SUBSCRIPTION} SELECT room_id, cmd, count(*) AS n FROM event WHERE room_id IN (SELECT room_id FROM subscription WHERE dev = 1) GROUP BY room_id, cmd",
+    "rooms_diff": f"""WITH {EVENT}, {SUBSCRIPTION}, a AS (SELECT room_id FROM event), b AS (SELECT room_id FROM subscription)
         SELECT room_id, 'start' AS action FROM (SELECT room_id FROM b EXCEPT SELECT room_id FROM a) UNION ALL SELECT room_id, 'stop' FROM (SELECT room_id FROM a EXCEPT SELECT room_id FROM b)""",
     "retention_keep_k": "WITH f AS (SELECT DISTINCT strftime(o_orderdate, '%Y%m%d') AS name FROM orders) SELECT name FROM f WHERE name NOT IN (SELECT name FROM f ORDER BY name DESC LIMIT 40)",
     "alert_edges": """WITH s AS (SELECT event_id, user_id % 8 AS room_id, event_type FROM events WHERE event_type = 'signup' OR (event_type = 'error' AND event_id >= 120)),
@@ -163,7 +171,7 @@ SQL: dict[str, str] = {
         SELECT cols, CAST(ceil(n / cols) AS INTEGER) AS "rows", CAST(pos % cols AS INTEGER) AS col, CAST(pos // cols AS INTEGER) AS "row", count(*) AS n FROM c GROUP BY ALL""",
     "emoji_map": "SELECT page_id, 'v' || page_id AS a, 'w' AS b, 'x|[a]|[c]|[b]|' || page_id AS tokens FROM pages",
     "log_records": f"WITH {LOGS} SELECT * FROM records",
-    "log_page": f"""WITH {LOGS}, b AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY n DESC) AS back FROM records WHERE file < 40) SELECT file, n, message FROM b WHERE back > 1 AND back <= 3""",
+    "log_page": f"""WITH {LOGS}, b AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY n DESC) AS back FROM records) SELECT file, n, message FROM b WHERE back > 1 AND back <= 3""",
     "log_tail_n": "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 100",
     "log_files": "SELECT DISTINCT 'f' || conv_id || '.log' AS name FROM conversations",
     "scalar_numbers": """SELECT event_id, event_type AS cmd, CAST(floor((event_id * 333 - 5000) / 1000) AS BIGINT) AS seconds, CASE WHEN event_id % 3 = 0 THEN user_id END AS popularity, event_id % 3 = 0 AS numeric,

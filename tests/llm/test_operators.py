@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import exact_dedup as ed
+from tidemark.llm import ngram_join as nj
 from tidemark.llm import ngram_lm as lm
 from tidemark.llm import packing as pk
 from tidemark.llm import substring_dedup as sd
@@ -195,6 +197,30 @@ def test_ngram_join_family(spark, rows):
     assert rows(jaccard_components(spark, frame(spark, family))) == sorted(brute_components(family), key=repr)
 
 
+@pytest.mark.parametrize("cut", [None, [1], [3, 3, 5], [2, 6]])
+def test_shared_columns(cut):
+    cols = [1, 2, 2, 3, 4, 4, 4, 5, 5]
+    cuts = [0, *(cut or []), len(cols)]
+    batches = [pa.RecordBatch.from_pydict({"col": np.array(cols[a:b], np.int64), "key": np.arange(a, b), "id": np.arange(a, b)}) for a, b in zip(cuts, cuts[1:], strict=False)]
+    assert [i for b in nj.shared_columns(iter(batches)) for i in b.column(2).to_pylist()] == [1, 2, 4, 5, 6, 7, 8]
+    assert [x[0].tolist() for x in nj._runs(iter(batches))] and [c for x in nj._runs(iter(batches)) for c in x[0].tolist()] == cols
+
+
+def test_ngram_join_common_column(spark, rows):
+    """Very many different texts of the same common lines, and some near copies among them."""
+    rng = random.Random(17)
+    lines = [prose(rng, 7) for _ in range(12)]
+    texts = [" ".join(rng.sample(lines, 4)) for _ in range(160)]
+    texts += [" ".join([*t.split()[:-1], f"e{i}"]) for i, t in enumerate(texts[:20])]
+    want = sorted(brute_components(texts), key=repr)
+    assert rows(jaccard_components(spark, frame(spark, texts), block=8)) == want
+    many = [f"one common line of words w{i} x{i} y{i} z{i} v{i} u{i}" for i in range(20_000)] + ["one common line of words w7 x7 y7 z7 v7 u7 t7"]
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark, frame(spark, many)).collect()}
+    assert got == {i: i for i in range(20_000)} | {20_000: 7}
+    with pytest.raises(TypeError):
+        jaccard_components(spark, frame(spark, ["a"]).withColumn("doc_id", F.lit("x")))
+
+
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=14))
 @settings(max_examples=5, deadline=None)
 def test_components(spark, edges):

@@ -15,18 +15,22 @@ are multiplied.
    pairs give first components with a number of pairs linear in the group.  This round
    may miss anything; it only saves work.
 4. Product round, over columns that rows of different components have, now ordered by
-   how many rows they have.  Per column block, pairs of different components are
-   accumulated, each from the columns that are early enough in both rows for the overlap
-   their sizes ask for; pairs whose sizes are too far apart are never formed.  Of the
-   pairs found the overlap of prefixes is counted in full, and those below the bound
-   that the sizes imply are discarded.  The rest is verified exactly.  A pair left out
-   was in one component already, so no link between components is lost.
+   how many rows they have.  A column's rows are dealt in blocks of ``block``, and each
+   pair of blocks of a column is a cell of its own, so a column that very many rows have
+   is many small tasks.  Cells emit overlap counts of pairs of different components, which
+   are summed map-side and then over all cells; pairs whose sizes are too far apart, or
+   that have too few columns left for the overlap their sizes ask for, are never formed,
+   and those whose sum with what is left stays below it are discarded.  The rest is
+   verified exactly.  A pair left out was in one component already, so no link between
+   components is lost.
 
 Nulls, empties, repeats: a null text counts as empty; a document without words has an
 empty set and links with nothing; one with fewer than ``width`` words has its whole
 sequence as one shingle.  Rows that repeat an id are one document whose links are
-those of any of its rows; each input row gives an output row.  A row without id keeps a null id and takes part in no class.  Empty tables give empty
-results; further columns of the input are not read.
+those of any of its rows; each input row gives an output row.  Texts of any length are
+read whole.  A row without id keeps a null id and takes part in no class.  Ids are whole
+numbers; others are an error.  Empty tables give empty results; further columns of the
+input are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +38,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,7 +45,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import wordhash as W
 from tidemark.llm.bitmap import bitmap, may_hold
 from tidemark.llm.components import components
-from tidemark.llm.scratch import drop, materialize
+from tidemark.llm.scratch import drop, materialize, whole_ids
 
 SKETCH_BITS = 20
 _PART = 1 << 16
@@ -127,43 +130,44 @@ def incidence(docs: DataFrame, rank, width: int, num: int, den: int, id_col: str
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Columns of sorted batches, cut only where the first column (the matrix column) changes."""
-    held: list[np.ndarray] | None = None
+    """Columns of sorted batches, cut only where the first column (the cell) changes."""
+    held: list[list[np.ndarray]] = []
     for batch in batches:
         now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
         if not len(now[0]):
             continue
         cut = int(np.searchsorted(now[0], now[0][-1], side="left"))
-        if cut:
-            yield tuple(x[:cut] for x in now)
-        held = [x[cut:] for x in now]
-    if held is not None and len(held[0]):
-        yield tuple(held)
+        if cut or (held and held[-1][0][-1] != now[0][0]):
+            yield tuple(np.concatenate(x) for x in zip(*held, [x[:cut] for x in now], strict=True))
+            held = []
+        held.append([x[cut:] for x in now])
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def _bounds(col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    start = np.flatnonzero(np.r_[True, col[1:] != col[:-1]])
-    return start, np.r_[start[1:], len(col)]
+def _bounds(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+    return start, np.r_[start[1:], len(cell)].astype(np.int64)[: len(start)]
 
 
 def shared_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over sorted (col, key, id): the columns that two rows or more have."""
-    for col, key, ids in _runs(batches):
-        start, end = _bounds(col)
-        many = np.repeat(end - start > 1, end - start)
-        if many.any():
-            yield pa.RecordBatch.from_arrays([pa.array(col[many]), pa.array(key[many]), pa.array(ids[many])], names=["col", "key", "id"])
-
-
-def mixed_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over (col, key, id, comp), sorted by col: the columns that rows of different components have."""
-    for col, key, ids, comp in _runs(batches):
-        start, end = _bounds(col)
-        mixed = np.repeat(np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start), end - start)
-        if mixed.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[mixed]) for x in (col, key, ids, comp)], names=["col", "key", "id", "comp"])
+    """Over sorted (col, key, id): the columns that two rows or more have; a row is held back at most."""
+    names, held, before = ["col", "key", "id"], None, None
+    for batch in batches:
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        if not len(now[0]):
+            continue
+        col = now[0]
+        same = np.r_[before is not None and col[0] == before, col[1:] == col[:-1]]
+        keep = np.flatnonzero(same[:-1] | same[1:])
+        if len(keep):
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in now], names=names)
+        held = [x[-1:] for x in now]
+        before = col[-2] if len(col) > 1 else before
+    if held is not None and before is not None and held[0][0] == before:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=names)
 
 
 def least_overlap(key_u, key_v, num: int, den: int, where, most, ceil):
@@ -179,48 +183,56 @@ def least_overlap(key_u, key_v, num: int, den: int, where, most, ceil):
 
 
 def multiply(num: int, den: int):
-    """Over sorted (col, key, id, comp, room): pairs of different components and the least prefix overlap that could do.
+    """Over sorted (cell, key, id, comp, room, side): overlaps of pairs of different components, accumulated.
 
-    ``room`` is how many of its columns a row has from this one on.  A pair that has the
-    overlap it needs has its first common column where both have that much room.
+    A cell is a column, or of a column with many rows a block of them against another
+    (sides 1 and 2) or itself (side 0).  ``room`` is how many of its columns a row has
+    from this one on, ``need`` the least overlap of prefixes that the pair's sizes ask
+    for.  A pair counts in the columns where both rows have that much room; so its
+    overlap is ``c`` at least and ``c`` + ``rest`` at most.
     """
     split = lambda key: (key >> 24, key & 0xFFFFFF)
     ceil = lambda x, y: -(-x // y)
+    names = ["u", "v", "c", "rest", "need"]
 
-    def once(found: list[tuple]) -> pa.RecordBatch:
-        frame = pd.DataFrame(dict(zip(("u", "v", "need"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
-        return pa.RecordBatch.from_pandas(frame.drop_duplicates(["u", "v"]).astype("int64"), preserve_index=False)
+    def summed(found: list[tuple]) -> pa.RecordBatch:
+        u, v, rest, need = map(np.concatenate, zip(*found, strict=True))
+        by = np.lexsort((v, u))
+        u, v, rest, need = u[by], v[by], rest[by], need[by]
+        new = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])])
+        columns = u[new], v[new], np.diff(np.r_[new, len(u)]), np.minimum.reduceat(rest, new), np.maximum.reduceat(need, new)
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=names)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
-        for col, key, ids, comp, room in _runs(batches):
+        held = 0
+        for cell, key, ids, comp, room, side in _runs(batches):
             n = key >> 24
 
             def keep(u: np.ndarray, v: np.ndarray) -> int:
-                fits = n[v] * num <= n[u] * den  # noqa: B023
+                fits = (n[v] * num <= n[u] * den) & (comp[u] != comp[v]) & ((side[u] == 0) | (side[u] != side[v]))  # noqa: B023
                 u, v = u[fits], v[fits]
                 need = least_overlap(split(key[u]), split(key[v]), num, den, np.where, np.maximum, ceil)  # noqa: B023
-                fits = np.minimum(room[u], room[v]) >= need  # noqa: B023
+                both = np.minimum(room[u], room[v])  # noqa: B023
+                fits = both >= need
                 if fits.any():
-                    found.append((ids[u[fits]], ids[v[fits]], need[fits]))  # noqa: B023
+                    found.append((ids[u[fits]], ids[v[fits]], both[fits] - 1, need[fits]))  # noqa: B023
                 return int(fits.sum())
 
-            start, end = _bounds(col)
-            pairs = start[end - start == 2]
-            held = keep(pairs, pairs + 1)
-            more = np.flatnonzero(end - start > 2)
-            for a, b in zip(start[more].tolist(), end[more].tolist(), strict=True):
-                c, reach = comp[a:b], a + np.searchsorted(n[a:b], n[a:b] * den // num, side="right")
-                for i in range(a, b - 1):
-                    other = np.flatnonzero(c[i + 1 - a : reach[i - a] - a] != c[i - a]) + i + 1
-                    held += keep(np.full(len(other), i), other) if len(other) else 0
-                    if held > 1_000_000:  # bounds the memory, not the pairs
-                        yield once(found)
-                        found.clear()
-                        held = 0
-            if found:
-                yield once(found)
-                found.clear()
+            # Each row with those after it in its cell, some rows of all cells at a time.
+            start, end = _bounds(cell)
+            after = np.repeat(end, end - start) - np.arange(len(cell)) - 1
+            total = np.cumsum(after)
+            cuts = np.searchsorted(total, np.arange(0, int(total[-1]), 500_000), side="right") if len(total) and total[-1] else []
+            for a, b in zip(cuts, [*cuts[1:], len(cell)], strict=True):
+                u = np.repeat(np.arange(a, b), after[a:b])
+                held += keep(u, np.arange(len(u)) - np.repeat(total[a:b] - after[a:b] - (total[a - 1] if a else 0), after[a:b]) + u + 1)
+                if held > 1_000_000:  # bounds the memory, not the pairs
+                    yield summed(found)
+                    found.clear()
+                    held = 0
+        if found:
+            yield summed(found)
 
     return go
 
@@ -236,9 +248,10 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def jaccard_components(
-    spark: SparkSession, docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
+    spark: SparkSession, docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, block: int = 256, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """id, n_shingles, component_id: components over links of Jaccard similarity num/den or more."""
+    whole_ids(docs, id_col)
     rank = spark.sparkContext.broadcast(rarity(docs.select(text_col), width))
     rows = materialize(incidence(docs, rank, width, num, den, id_col, text_col), "incidence")
 
@@ -250,8 +263,8 @@ def jaccard_components(
 
     # 2. Columns that two rows share.
     cells = reps.select(F.explode("prefix").alias("col"), "key", "id")
-    blocks = cells.repartition("col").sortWithinPartitions("col", "key", "id")
-    shared = materialize(blocks.mapInArrow(W.lean(shared_columns), "col long, key long, id long"), "columns")
+    dealt = cells.repartition("col").sortWithinPartitions("col", "key", "id")
+    shared = materialize(dealt.mapInArrow(W.lean(shared_columns), "col long, key long, id long"), "columns")
     drop(rows)
 
     def sets_of(ids: DataFrame) -> DataFrame:
@@ -290,17 +303,20 @@ def jaccard_components(
 
     # 4. Product of what lies in different components.
     tagged = shared.join(first.select(F.col("node").alias("id"), "component"), "id", "left").select("col", "key", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = materialize(tagged.repartition("col").sortWithinPartitions("col").mapInArrow(W.lean(mixed_columns), "col long, key long, id long, comp long"), "mixed")
-    drop(shared)
+    mixed = tagged.groupBy("col").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi")
     own = Window.partitionBy("id")
-    placed = mixed.join(mixed.groupBy("col").agg(F.count(F.lit(1)).alias("m")), "col")
-    placed = placed.withColumn("room", F.count(F.lit(1)).over(own) - F.row_number().over(own.orderBy("m", "col")) + 1)
-    product = placed.select("col", "key", "id", "comp", F.col("room").cast("long").alias("room")).repartition("col").sortWithinPartitions("col", "key", "id")
-    found = product.mapInArrow(W.lean(multiply(num, den)), "u long, v long, need long").groupBy("u", "v").agg(F.max("need").alias("need"))
-    columns = mixed.groupBy("id").agg(F.collect_list("col").alias("cols"))  # no more than a prefix each
-    both = found.join(columns.select(F.col("id").alias("u"), F.col("cols").alias("uc")), "u").join(columns.select(F.col("id").alias("v"), F.col("cols").alias("vc")), "v")
-    links = links_of(both.where(F.size(F.array_intersect("uc", "vc")) >= F.col("need")))
-    drop(mixed)
+    room = F.count(F.lit(1)).over(own) - F.row_number().over(own.orderBy("m", "col")) + 1
+    placed = tagged.join(mixed.select("col", "m"), "col").withColumn("room", room.cast("long"))
+    # A column's rows are dealt in blocks, and each pair of blocks is a cell.
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    dealt = placed.withColumns({"b": F.pmod(F.xxhash64("id"), blocks).cast("int"), "o": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    cell = F.xxhash64("col", F.least("b", "o"), F.greatest("b", "o"))
+    side = F.when(F.col("b") == F.col("o"), 0).when(F.col("b") < F.col("o"), 1).otherwise(2).cast("long")
+    product = dealt.select(cell.alias("cell"), "key", "id", "comp", "room", side.alias("side")).repartition("cell").sortWithinPartitions("cell", "key", "id")
+    summed = product.mapInArrow(W.lean(multiply(num, den)), "u long, v long, c long, rest long, need long")
+    found = summed.groupBy("u", "v").agg(F.sum("c").alias("c"), F.min("rest").alias("rest"), F.max("need").alias("need"))
+    links = links_of(found.where(F.col("c") + F.col("rest") >= F.col("need")))
+    drop(shared)
     a, b = (first.select(F.col("node").alias(x), F.col("component").alias(f"{x}c")) for x in ("u", "v"))
     lifted = links.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("uc", "u").alias("u"), F.coalesce("vc", "v").alias("v"))
     second = components(lifted)

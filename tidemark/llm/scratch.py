@@ -96,5 +96,12 @@ def recording() -> Iterator[list[str]]:
         _RECORDS.remove(paths)
 
 
+def whole_ids(df: DataFrame, column: str) -> None:
+    """An error at once where an operator's ids are no whole numbers."""
+    kind = df.schema[column].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{column} must be a whole number, not {kind}")
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)

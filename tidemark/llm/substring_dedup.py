@@ -20,8 +20,11 @@ span may have fewer words.
 
 Nulls, empties, repeats: null, empty and short texts have no spans; a text of one byte
 value is cut at every byte where no other cut is in reach.  Rows that repeat an id are one document, and what
-only they share is no repeat across documents.  Rows without id are left out.  Empty
-tables give empty results; further columns are not read.
+only they share is no repeat across documents.  Rows without id are left out.  Ids are
+whole numbers; others are an error.  Texts of any length are read whole.  A passage that
+very many documents have is one key of the join with the repeated digests, whose other
+side has a row a digest; adaptive execution splits it.  Empty tables give empty results;
+further columns are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import wordhash as W
 from tidemark.llm.bitmap import bitmap
-from tidemark.llm.scratch import materialize
+from tidemark.llm.scratch import materialize, whole_ids
 
 _GEAR = np.random.Generator(np.random.PCG64(77)).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -211,6 +214,7 @@ def repeated_spans(
     spark: SparkSession, docs: DataFrame, mean: int = 20, most: int = 128, least: int = 40, min_words: int = 16, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, start, end (characters), words, first_doc_id, kept: every span that another document has too."""
+    whole_ids(docs, id_col)
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     digests = _digests(rows, mean, most, least).groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     repeated = materialize(digests.where("first != last").select("digest", "first"), "repeated")

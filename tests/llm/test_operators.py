@@ -16,6 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tidemark.llm import decontaminate as de
 from tidemark.llm import exact_dedup as ed
 from tidemark.llm import ngram_join as nj
 from tidemark.llm import ngram_lm as lm
@@ -301,6 +302,37 @@ def test_decontaminate(spark):
     assert contaminated(spark, docs, bench.limit(0)).count() == 0 and contaminated(spark, docs.limit(0), bench).count() == 0
 
 
+def test_decontaminate_against_all_alignments(spark):
+    """Edited leaks among ordinary text that shares words with the items: as aligning every document with every item."""
+    rng = random.Random(41)
+    items = [prose(rng, rng.randrange(12, 40)) for _ in range(25)]
+    docs = [prose(rng, rng.randrange(20, 150)) for _ in range(60)]
+    for k in range(80):
+        words = rng.choice(items).split()
+        for _ in range(rng.randrange(len(words) // 3 + 1)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(2)] = [rng.choice(WORDS)] * rng.randrange(2)
+        docs.append(" ".join([prose(rng, rng.randrange(30)), *words, prose(rng, rng.randrange(30))]))
+    docs += [docs[70]] * 30  # an item that is copied often is a seed still
+    bench = spark.createDataFrame([(f"i{k}", t) for k, t in enumerate(items)], "item_id string, text string")
+    got = {(r.doc_id, int(r.item_id[1:])): r.score for r in contaminated(spark, frame(spark, docs), bench).collect()}
+    want = {}
+    for d, t in enumerate(docs):
+        for k, i in enumerate(items):
+            score = aligned_span(de._hash_text(i), de._hash_text(t))[0] / (2 * len(i.split()))
+            if score >= 0.5:
+                want[d, k] = score
+    assert len(want) > 90 and got == want
+
+
+def test_decontaminate_edges(spark, rows):
+    item = " ".join(f"q{i}" for i in range(20))
+    docs = frame(spark, [item, item, "w " * 200_000 + item], [None, 1, 2])
+    bench = spark.createDataFrame([(1.5, item), (1.5, item + " q20"), (None, item)], "item_id double, text string")
+    got = rows(contaminated(spark, docs, bench), "doc_id", "item_id", "score")
+    assert got == sorted([(d, i, 1.0) for d in (None, 1, 2) for i in (1.5, None)], key=repr)
+
+
 # 5
 
 

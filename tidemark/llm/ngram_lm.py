@@ -48,8 +48,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import wordhash as W
-from tidemark.llm.scratch import drop, materialize, new_dir
-from tidemark.llm.warc import file_system
+from tidemark.llm.scratch import drop, file_system, materialize, new_dir
 
 END = np.uint64(0x0123456789ABCDEF)
 _STEP = 1 / 24  # of quantised log10 probabilities: 8 bits reach -10.6

@@ -10,31 +10,52 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
-import shutil
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_MADE: list[str] = []
 _RECORDS: list[list[str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is configured (tests)."""
+    """The cluster's shared folder; one of our own only where none is configured and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="tidemark-"))
-        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        _MADE.append(_OWN[0])
     return f"file://{_OWN[0]}"
 
 
+def file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The store a path is in; ``file:///x`` and ``/x`` are the local one."""
+    if "://" not in path and not path.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem(), path
+    return pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+
+
+@atexit.register
+def _clear() -> None:
+    """Removes what is left of this process's scratch, as far as it can be reached without Spark."""
+    for path in _MADE:
+        with contextlib.suppress(Exception):
+            store, inner = file_system(path)
+            store.delete_dir(inner)
+
+
 def new_dir(spark: SparkSession, label: str) -> str:
     """A fresh path (not yet created) in the shared folder."""
     path = f"{shared_root(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     for record in _RECORDS:
         record.append(path)
     return path

@@ -30,11 +30,10 @@ from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import materialize, new_dir
+from tidemark.llm.scratch import file_system, materialize, new_dir
 
 def _index_schema(kind: str) -> str:
     return f"page_id {kind}, file string, `offset` long, length long, url string, payload_digest string, record_type string, refers_to {kind}"
@@ -48,13 +47,6 @@ def _id_type(kind: str) -> pa.DataType:
     return types[kind]
 
 
-def file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The store a path is in; ``file:///x`` and ``/x`` are the local one."""
-    if "://" not in path and not path.startswith("file:"):
-        return pyarrow.fs.LocalFileSystem(), path
-    return pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-
-
 def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 

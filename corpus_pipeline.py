@@ -16,6 +16,7 @@ results.
 from __future__ import annotations
 
 import functools
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -32,7 +33,8 @@ from tidemark.llm.scratch import delete, is_empty, materialize, recording, settl
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_PAST: list[str] = []
+#: Scratch of the stage before, by the thread and the tables a pipeline runs on.
+_PAST: dict[tuple[int, str], list[str]] = {}
 
 
 def _stage(function: Stage) -> Stage:
@@ -40,13 +42,13 @@ def _stage(function: Stage) -> Stage:
 
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        delete(spark, *_PAST)
-        _PAST.clear()
+        mine = threading.get_ident(), sf_dir
+        delete(spark, *_PAST.pop(mine, ()))
         settle(spark)
         small_batches(spark)
         with recording() as paths:
             out = function(spark, docs, sf_dir)
-        _PAST.extend(paths)
+        _PAST[mine] = paths
         return out
 
     return run_stage

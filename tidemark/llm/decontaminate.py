@@ -4,8 +4,8 @@
    benchmark occurs.  An item's n-gram is a seed if it occurs once, or in a share of at
    most ``chance`` of all places; or if its words are so rare that it is expected so
    seldom, by the product of their shares.  The second keeps what is rare by itself and
-   often only because an item was copied often.  An item without any seed keeps all of
-   its n-grams.
+   often only because an item was copied often; an item without any such n-gram keeps all
+   of its n-grams.
 2. A second pass looks up every n-gram of every text in the seeds.  A hit opens a
    window of the text around the item's place; overlapping windows of an item merge.
 3. Words of the window and of the item (lower-cased by Unicode rules) are aligned locally (match 2, mismatch -1,
@@ -176,8 +176,8 @@ def _search(docs: DataFrame, block: list[tuple], n: int, chance: float, threshol
         r = rate[np.searchsorted(words, h)]
         p = np.prod([r[i : len(h) - n + 1 + i] for i in range(n)], axis=0)
         often = gram_n[np.searchsorted(all_grams, own[k])]
-        rare = np.flatnonzero(np.minimum(p * total, often) <= max(1, chance * total))
-        rare = rare if len(rare) else np.arange(len(p))
+        most = max(1, chance * total)
+        rare = np.flatnonzero((p * total <= most) | (often <= most)) if (p * total <= most).any() else np.arange(len(p))
         grams.append(own[k][rare])
         item_of.append(np.full(len(rare), k))
         place.append(rare)

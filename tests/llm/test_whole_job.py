@@ -6,6 +6,8 @@ import random
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from tests.llm.test_operators import frame, prose
@@ -108,3 +110,16 @@ def test_pipeline_judges_rows(spark, tmp_path):
     assert (201, both) not in left[1] and {(200, both), docs[135], *docs[136:]} <= left[1]
     assert (301, near) not in left[2] and {(300, close), docs[138]} <= left[2] and len({docs[139], docs[140]} & left[2]) == 1
     assert (None, item) not in left[3] and left[3] == left[2] - {(None, item)}
+
+
+@pytest.mark.parametrize("n", [0, 1, 700, 40_000])
+def test_bitmap_lookup_keeps_every_probe(spark, n):
+    from tidemark.llm.bitmap import may_hold
+
+    probes = spark.range(n).select(F.when(F.col("id") != 5, F.xxhash64("id")).alias("probe"))
+    rows = spark.range(2 * n + 10).select("id", F.when(F.col("id") != 7, F.xxhash64("id")).alias("h"), F.lit("x").alias("probe"))
+    got = may_hold(probes, n)(rows, F.col("h"), "held")
+    assert got.columns == ["id", "h", "probe", "held"] and got.count() == 2 * n + 10
+    held = {r.id for r in got.where("held").collect()}
+    assert set(range(n)) - {5, 7} <= held and 7 not in held
+    assert len(held) <= n + max(20, n // 8)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.bitmap import bitmap, may_hold
+from tidemark.llm.bitmap import may_hold
 from tidemark.llm.scratch import materialize
 
 BUCKET_KEYS = 50_000
@@ -191,10 +191,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
     # Byte check: rows of suspect digests, grouped by their very text.
     probes = suspects.select(F.xxhash64("digest").alias("probe"))
-    held = may_hold(spark, bitmap(probes, suspects.count()))
+    held = may_hold(probes, suspects.count())
     norm = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm")).withColumn("digest", F.sha2("norm", 256))
     checked = (
-        norm.where(held(F.xxhash64("digest")))
+        held(norm, F.xxhash64("digest"), "suspect")
+        .where("suspect")
         .groupBy("digest", "norm")
         .agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("size"))
         .select("digest", F.xxhash64("norm").alias("variant"), "keep", "size")

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import wordhash as W
-from tidemark.llm.bitmap import bitmap, may_hold
+from tidemark.llm.bitmap import may_hold
 from tidemark.llm.components import components
 from tidemark.llm.scratch import drop, materialize, whole_ids
 
@@ -270,9 +270,9 @@ def jaccard_components(
     def sets_of(ids: DataFrame) -> DataFrame:
         """The full sets of some documents, from their texts; a bitmap thins the scan."""
         ids = materialize(ids.distinct(), "wanted")
-        held = may_hold(spark, bitmap(ids.select(F.xxhash64("id").alias("probe")), ids.count()))
+        held = may_hold(ids.select(F.xxhash64("id").alias("probe")), ids.count())
         texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
-        texts = texts.where(held(F.xxhash64("id"))).join(ids, "id", "left_semi")
+        texts = held(texts, F.xxhash64("id"), "wanted").where("wanted").drop("wanted").join(ids, "id", "left_semi")
 
         def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in W.slices(batches):

@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.bitmap import bitmap, may_hold
+from tidemark.llm.bitmap import may_hold
 from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.exact_dedup import exact_dedup, normalised
 from tidemark.llm.ngram_join import jaccard_components
@@ -70,8 +70,8 @@ def _without(docs: DataFrame, key: Column, dropped: DataFrame) -> DataFrame:
     if not count:
         return docs
     # A bitmap of bounded size tells most rows that stay, so their texts are not moved.
-    held = may_hold(docs.sparkSession, bitmap(gone.select(F.xxhash64("__gone").alias("probe")), count))
-    marked = docs.withColumn("__key", key).withColumn("__maybe", held(F.xxhash64("__key")))
+    held = may_hold(gone.select(F.xxhash64("__gone").alias("probe")), count)
+    marked = held(docs.withColumn("__key", key), F.xxhash64("__key"), "__maybe")
     rest = marked.where("__maybe").join(gone, F.col("__key") == F.col("__gone"), "left_anti")
     return marked.where("not __maybe").select(*docs.columns).union(rest.select(*docs.columns))
 

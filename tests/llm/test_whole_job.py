@@ -14,6 +14,7 @@ from tests.llm.test_operators import frame, prose
 from tests.llm.test_pipeline import tables
 from tidemark.llm import queries as own
 from tidemark.llm import substring_dedup as sd
+from tidemark.llm.quality import kept_rows, quality_scores
 
 
 def test_lm_query_learns_what_occurs_once(spark, tmp_path):
@@ -112,6 +113,22 @@ def test_pipeline_judges_rows(spark, tmp_path):
     assert (None, item) not in left[3] and left[3] == left[2] - {(None, item)}
 
 
+def test_kept_rows_are_those_that_scores_keep(spark):
+    rng = random.Random(32)
+    texts = [prose(rng, 60) for _ in range(60)] + [" ".join(w + "%%%" for w in prose(rng, 60).split()) for _ in range(40)]
+    rows = [(i, t, "en", "s", len(t), [i], "z") for i, t in enumerate(texts)]
+    rows += [(None, texts[99], "en", "s", None, None, None), (100, None, None, None, -1, [], ""), (101, "", "en", "s", 0, [1, None], "z"), (5, texts[5], "en", "s", len(texts[5]), [5], "z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int, kept array<int>, `_text` string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(100) if i % 4], "doc_id bigint, quality int")
+    kept = {r.doc_id for r in quality_scores(spark, docs, labels).where("kept").collect()}
+    out = kept_rows(spark, docs, labels)
+    assert out.schema == docs.schema
+    key = lambda rs: sorted(map(repr, rs))
+    assert 60 <= len(kept) < 70 and 99 not in kept and key(tuple(r) for r in out.collect()) == key(r for r in rows if r[0] in kept)
+    assert key(tuple(r) for r in kept_rows(spark, docs, labels.limit(0)).collect()) == key(rows)
+    assert kept_rows(spark, docs.limit(0), labels).count() == 0
+
+
 @pytest.mark.parametrize("n", [0, 1, 700, 40_000])
 def test_bitmap_lookup_keeps_every_probe(spark, n):
     from tidemark.llm.bitmap import may_hold

@@ -226,6 +226,13 @@ def _views(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nda
             yield lo + a, lo + z, text_view(part, off), meta_view(langs[lo + a : lo + z], sources[lo + a : lo + z], sizes[lo + a : lo + z])
 
 
+def _scored(model: CoTrained | None, batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """Runs of rows with the scores of both views and the combined one; 0.5 without a model."""
+    for lo, hi, xt, xm in _views(batch):
+        scores = model.score(xt, xm) if model else [np.full(hi - lo, 0.5)] * 3
+        yield lo, hi, [np.round(s.astype(np.float64), 9) for s in scores]
+
+
 def _records(docs: DataFrame, id_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n"))
 
@@ -292,23 +299,51 @@ def quality_scores(
     sure: float = 0.95,
     reject_below: float = 0.3,
     id_col: str = "doc_id",
-    name_col: str | None = None,
 ) -> DataFrame:
-    """doc_id, text_score, meta_score, score (probability of good quality), kept.
+    """doc_id, text_score, meta_score, score (probability of good quality), kept."""
+    model = fit(spark, docs, labels, most_labelled, most_pool, rounds, sure, id_col)
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            for lo, hi, scores in _scored(own, batch):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], *(pa.array(s) for s in scores), pa.array(scores[2] >= reject_below)], names=["doc_id", "text_score", "meta_score", "score", "kept"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return _records(docs, id_col).mapInArrow(W.lean(run), f"doc_id {kind}, text_score double, meta_score double, score double, kept boolean")
+
+
+def kept_rows(
+    spark: SparkSession,
+    docs: DataFrame,
+    labels: DataFrame,
+    most_labelled: int = 4000,
+    most_pool: int = 2000,
+    rounds: int = 3,
+    sure: float = 0.95,
+    reject_below: float = 0.3,
+    id_col: str = "doc_id",
+) -> DataFrame:
+    """The rows of ``docs`` that ``quality_scores`` keeps, with all their columns.
 
-    ``name_col`` is what the result has as doc_id where it isn't the id that labels have.
+    Each row is judged where it is read, so none is joined or shuffled, and rows that are
+    equal or have no id go by their own scores.
     """
-    name_col = name_col or id_col
     model = fit(spark, docs, labels, most_labelled, most_pool, rounds, sure, id_col)
     shared = spark.sparkContext.broadcast(model)
+    width, text = len(docs.columns), [c.lower() for c in docs.columns].index("text")
+    # What the metadata view reads comes last, under names that ``docs`` doesn't have.
+    free = "_" * (1 + max(map(len, docs.columns)))
+    asked = [F.col(c).cast(kind).alias(free + c) for c, kind in (("lang", "string"), ("source", "string"), ("n_chars", "long"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for lo, hi, xt, xm in _views(batch):
-                scores = own.score(xt, xm) if own else [np.full(hi - lo, 0.5)] * 3
-                scores = [np.round(s.astype(np.float64), 9) for s in scores]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], *(pa.array(s) for s in scores), pa.array(scores[2] >= reject_below)], names=["doc_id", "text_score", "meta_score", "score", "kept"])
+            columns = batch.columns
+            rows = pa.RecordBatch.from_arrays(columns[:width], names=batch.schema.names[:width])
+            judged = pa.RecordBatch.from_arrays([columns[text], columns[text], *columns[width:]], names=["id", "text", "lang", "source", "n"])
+            for lo, hi, scores in _scored(own, judged):
+                yield rows.slice(lo, hi - lo).filter(pa.array(scores[2] >= reject_below))
 
-    kind = docs.schema[name_col].dataType.simpleString()
-    return _records(docs, name_col).mapInArrow(W.lean(run), f"doc_id {kind}, text_score double, meta_score double, score double, kept boolean")
+    return docs.select("*", *asked).mapInArrow(W.lean(run), docs.schema)

@@ -28,7 +28,7 @@ from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.exact_dedup import exact_dedup, normalised
 from tidemark.llm.ngram_join import jaccard_components
 from tidemark.llm.packing import pack
-from tidemark.llm.quality import quality_scores
+from tidemark.llm.quality import kept_rows
 from tidemark.llm.queries import tokenizer_path
 from tidemark.llm.scratch import delete, is_empty, materialize, recording, settle, shared_root, small_batches
 
@@ -79,9 +79,7 @@ def _without(docs: DataFrame, key: Column, dropped: DataFrame) -> DataFrame:
 @_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    key = _hash("text", "lang", "source", "n_chars")
-    scores = quality_scores(spark, docs.withColumn("__name", key), spark.read.parquet(f"{sf_dir}/labels.parquet"), name_col="__name")
-    return _without(docs, key, scores.where("not kept").select("doc_id"))
+    return kept_rows(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 @_stage

@@ -60,19 +60,21 @@ def _hash(*columns: str) -> Column:
     return F.xxhash64(*columns, *(F.col(c).isNull() for c in columns))
 
 
-def _without(docs: DataFrame, key: Column, dropped: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose key is in ``dropped`` (one column), a table written once.
+def _without(docs: DataFrame, key: Column, dropped: DataFrame, probe: Column | None = None) -> DataFrame:
+    """``docs`` less the rows whose key is in ``dropped``, a table written once.
 
-    Rows of one key are all that a stage judges alike, so each row goes by its own verdict.
+    ``dropped`` has a key and, where a ``probe`` is given, its value for that row: a cheaper
+    column that spares most rows the key.  Rows of one key are all that a stage judges
+    alike, so each row goes by its own verdict.
     """
-    gone = materialize(dropped.toDF("__gone").where("__gone is not null").distinct(), "dropped")
+    gone = materialize(dropped.toDF("__gone", *["__of"][: len(dropped.columns) - 1]).where("__gone is not null").distinct(), "dropped")
     count = gone.count()
     if not count:
         return docs
     # A bitmap of bounded size tells most rows that stay, so their texts are not moved.
-    held = may_hold(gone.select(F.xxhash64("__gone").alias("probe")), count)
-    marked = held(docs.withColumn("__key", key), F.xxhash64("__key"), "__maybe")
-    rest = marked.where("__maybe").join(gone, F.col("__key") == F.col("__gone"), "left_anti")
+    held = may_hold(gone.select(F.xxhash64(gone.columns[-1]).alias("probe")), count)
+    marked = held(docs, F.xxhash64(key if probe is None else probe), "__maybe")
+    rest = marked.where("__maybe").withColumn("__key", key).join(gone, F.col("__key") == F.col("__gone"), "left_anti")
     return marked.where("not __maybe").select(*docs.columns).union(rest.select(*docs.columns))
 
 
@@ -86,7 +88,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts, the one with the smallest id."""
     gone = exact_dedup(spark, docs).where("not kept and doc_id is not null")
-    return _without(docs, F.xxhash64("doc_id", F.sha2(normalised(F.col("text")), 256)), gone.select(F.xxhash64("doc_id", "text_sha256")))
+    # A text is hashed only where the bitmap may hold its id.
+    key = F.xxhash64("doc_id", F.sha2(normalised(F.col("text")), 256))
+    return _without(docs, key, gone.select(F.xxhash64("doc_id", "text_sha256"), "doc_id"), F.col("doc_id"))
 
 
 def _further_texts(docs: DataFrame) -> DataFrame | None:

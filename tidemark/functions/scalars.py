@@ -149,9 +149,9 @@ def local_text(epoch: Column | str, pattern: str, zone: str = ZONE) -> Column:
 
 
 def card_time(epoch: Column | str, zone: str = ZONE) -> Column:
-    """Minutes for a card; 0 and null are empty."""
+    """Minutes for a card; 0 and null are empty. Years beyond 9999 have no plus sign."""
     e = _col(epoch)
-    return F.when(e.isNull() | (e == 0), "").otherwise(local_text(e, "yyyy-MM-dd HH:mm", zone))
+    return F.when(e.isNull() | (e == 0), "").otherwise(F.ltrim(local_text(e, "yyyy-MM-dd HH:mm", zone), F.lit("+")))
 
 
 def day_bounds(day: str, zone: str = ZONE) -> tuple[Column, Column]:
